@@ -1,0 +1,6 @@
+"""Intentionally empty: the workload is a batch recompute over a date range.
+
+Late rows are handled in batch by :func:`dayloom.operators.padding.clean_panel`
+(series still alive in the last four weeks are extended to the newest date) and
+by :func:`dayloom.plans.backfill.backfill_union`.
+"""
