@@ -12,7 +12,7 @@ from dayloom.plans import panel as P
 from dayloom.plans import screener, standins, star
 from dayloom.plans.catalog import query, rounded, rsql
 from dayloom.plans.standins import CLEAN_SQL, MAIN_SQL, PANEL_SQL, Tables
-from dayloom.session import newest, shared_path
+from dayloom.session import materialise, newest, shared_path
 from dayloom.sources import facts as FS
 from dayloom.sources.tables import write_star
 
@@ -473,7 +473,8 @@ def _segment(t: Tables) -> DataFrame:
 
 def _screen(t: Tables, m: DataFrame) -> DataFrame:
     as_of = F.lit(standins.AS_OF).cast("date")
-    return screener.screen(m, as_of, _segment(t), min_activity=0.02)
+    newest_day = newest(t.lineitem.select(F.col("l_shipdate").cast("date").alias("ds")))
+    return screener.screen(m, as_of, _segment(t), min_activity=0.02, newest_day=newest_day)
 
 
 @query("screener", f"WITH {SCREEN_SQL} SELECT entity_id, {rsql('activity', 'min_rent')}, {rsql('min_ema', digits=9)} FROM survivors")
@@ -500,6 +501,6 @@ FROM complete c JOIN ranked USING (entity_id) LEFT JOIN dims USING (entity_id)
 )
 def screen_rank(t: Tables) -> DataFrame:
     """Complete series of the survivors, dense-ranked by their latest yearly return."""
-    m = metrics(t)
+    m = materialise(metrics(t), "metrics")
     out = screener.ranked_series(m, _screen(t, m), dims(t))
     return rounded(out.select("entity_id", "ds", "ema_30", "last_rent", "rank", "business_name"), "ema_30", "last_rent", digits=9)

@@ -22,6 +22,7 @@ def local_session(cores: int | str = "*", app: str = "dayloom", partitions: int
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "16g")
         .getOrCreate()
@@ -85,3 +86,14 @@ def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(n, *keys)
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and scan it from there.
+
+    For a result with several consumers: it is computed once, survives the loss of
+    executors, and every consumer reads only its columns.
+    """
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
