@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from dayloom.operators import calendar, diagnostics, padding, quantiles, rolling, splits
 from dayloom.operators.reshape import to_long
 from dayloom.operators.scaling import standardize
-from dayloom.plans import features, panel as P, standins
+from dayloom.plans import clustering, features, panel as P, standins
 from dayloom.plans.catalog import query, rounded, rsql
 from dayloom.plans.queries_panel import SERIES, main_panel
 from dayloom.plans.queries_tables import (
@@ -347,13 +347,7 @@ def trend_vs_regressors(t: Tables) -> DataFrame:
 def series_rows(t: Tables, min_activity: float = 0.02) -> DataFrame:
     """Standardised growth of the moving, full-length series of the last two years."""
     recent = P.since(main_panel(t), F.add_months(F.lit(standins.AS_OF).cast("date"), -24))
-    return clustering_rows(recent, min_activity)
-
-
-def clustering_rows(recent: DataFrame, min_activity: float) -> DataFrame:
-    from dayloom.plans.clustering import series_matrix
-
-    return series_matrix(recent, min_activity=min_activity)
+    return clustering.series_matrix(recent, min_activity)
 
 
 @query(
