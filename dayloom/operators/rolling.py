@@ -33,14 +33,24 @@ _LARGE_MOVE = 0.01
 
 @dataclass
 class Pieces:
-    """``first``/``running``/``back`` map names to window columns, ``out`` to results."""
+    """What a metric needs: window columns of the passes and the result expressions.
+
+    ``first`` and ``running`` map names to window columns of the first two passes;
+    ``state`` names running columns whose value some rows earlier is wanted, at the
+    distances in ``lags``; ``back`` holds further columns of the third pass.
+    """
 
     first: dict[str, Column] = field(default_factory=dict)
     running: dict[str, Column] = field(default_factory=dict)
+    state: list[str] = field(default_factory=list)
+    lags: list[int] = field(default_factory=list)
     back: dict[str, Column] = field(default_factory=dict)
     out: dict[str, Column] = field(default_factory=dict)
 
 
+POS = "_pos"
+
+
 def series_window(keys: Sequence[str], date: str = "ds") -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(date)
 
@@ -56,22 +66,41 @@ def _trailing(w: WindowSpec, period: int) -> WindowSpec:
 def with_pieces(
     df: DataFrame, keys: Sequence[str], date: str, *makers: Callable[[WindowSpec], Pieces]
 ) -> DataFrame:
-    """Run the passes of several metrics over one shared window specification."""
+    """Run the passes of several metrics over one shared window specification.
+
+    The running columns of all metrics are packed into one struct, so a distance costs one
+    ``lag`` however many metrics use it.
+    """
     w = series_window(keys, date)
     parts = [make(w) for make in makers]
-    out = df
-    for stage in ("first", "running", "back"):
-        cols: dict[str, Column] = {}
-        for part in parts:
-            cols.update(getattr(part, stage))
-        if cols:
-            out = out.select("*", *[c.alias(n) for n, c in cols.items()])
-    results: dict[str, Column] = {}
+    first: dict[str, Column] = {POS: F.row_number().over(w)}
+    running: dict[str, Column] = {}
+    back: dict[str, Column] = {}
+    out: dict[str, Column] = {}
     for part in parts:
-        results.update(part.out)
-    return out.select(
-        *[c for c in df.columns if c not in results], *[c.alias(n) for n, c in results.items()]
-    )
+        first.update(part.first)
+        running.update(part.running)
+        back.update(part.back)
+        out.update(part.out)
+    packed = F.struct(*sorted({n for part in parts for n in part.state})) if any(p.state for p in parts) else None
+    for period in sorted({n for part in parts for n in part.lags}):
+        back[f"_b{period}"] = F.lag(packed, period).over(w)
+    staged = df
+    for stage in (first, running, back):
+        if stage:
+            staged = staged.select("*", *[c.alias(n) for n, c in stage.items()])
+    return staged.select(*[c for c in df.columns if c not in out], *[c.alias(n) for n, c in out.items()])
+
+
+def _since(name: str, period: int) -> Column:
+    """Difference of a running column to its value ``period`` rows earlier."""
+    before = F.col(f"_b{period}").getField(name)
+    return F.col(name) - F.coalesce(before, F.lit(0))
+
+
+def _clear(last: str, period: int) -> Column:
+    """Whether the frame is full and free of the rows whose last position is ``last``."""
+    return F.col(POS) - F.coalesce(F.col(last), F.lit(0)) >= period
 
 
 def _known(value: Column) -> Column:
@@ -86,35 +115,27 @@ def compounded_return(
     """``product(value + shift) ^ exponent - 1`` over the last ``period`` rows.
 
     ``horizons`` maps the output name to (period, exponent). The product is the
-    exponential of a difference of running logarithms; zeros and negative factors
-    are counted apart, so it is right for every sign. NULL until the frame is full
-    and whenever the frame holds a NULL.
+    exponential of a difference of running logarithms; the positions of zeros and the
+    number of negative factors are kept apart, so it is right for every sign. NULL until
+    the frame is full and whenever the frame holds a NULL.
     """
 
     def make(w: WindowSpec) -> Pieces:
         run = _running(w)
         x = _known(F.col(value) + F.lit(shift) if shift else F.col(value))
-        n, ln, zero, neg = (f"_{tag}_{s}" for s in ("n", "ln", "zero", "neg"))
-        p = Pieces()
-        p.first[f"_{tag}_pos"] = F.row_number().over(w)
-        p.running[n] = F.count(x).over(run)
-        p.running[ln] = F.sum(F.when(x == 0, 0.0).otherwise(F.ln(F.abs(x)))).over(run)
-        p.running[zero] = F.count(F.when(x == 0, True)).over(run)
+        gap, ln, zero, neg = (f"_{tag}_{s}" for s in ("gap", "ln", "zero", "neg"))
+        p = Pieces(state=[ln, neg], lags=[period for period, _ in horizons.values()])
+        p.running[gap] = F.max(F.when(x.isNull(), F.col(POS))).over(run)
+        p.running[zero] = F.max(F.when(x == 0, F.col(POS))).over(run)
+        p.running[ln] = F.sum(F.when((x == 0) | x.isNull(), 0.0).otherwise(F.ln(F.abs(x)))).over(run)
         p.running[neg] = F.count(F.when(x < 0, True)).over(run)
-        state = F.struct(*[F.col(c) for c in (n, ln, zero, neg)])
         for name, (period, exponent) in horizons.items():
-            b = f"_{tag}_{period}"
-            p.back[b] = F.lag(state, period).over(w)
-
-            def delta(c: str, b: str = b) -> Column:
-                return F.coalesce(F.col(c), F.lit(0)) - F.coalesce(F.col(b).getField(c), F.lit(0))
-
-            size = F.exp(delta(ln))
-            signed = F.when(delta(zero) > 0, F.lit(0.0)).when(delta(neg) % 2 == 1, -size).otherwise(size)
-            powered = signed if exponent == 1 else F.pow(signed, F.lit(float(exponent)))
-            p.out[name] = F.when(
-                (F.col(f"_{tag}_pos") >= period) & (delta(n) == period), powered - 1
+            size = F.exp(_since(ln, period))
+            signed = F.when(~_clear(zero, period), F.lit(0.0)).otherwise(
+                F.when(_since(neg, period) % 2 == 1, F.lit(-1.0)).otherwise(F.lit(1.0)) * size
             )
+            powered = signed if exponent == 1 else F.pow(signed, F.lit(float(exponent)))
+            p.out[name] = F.when(_clear(gap, period), powered - 1)
         return p
 
     return make
@@ -130,39 +151,30 @@ def volatility(
 ) -> Callable[[WindowSpec], Pieces]:
     """Sample standard deviation of ``value - 1`` times sqrt(365) over trailing rows.
 
-    A frame whose rows are all equal gives exactly 0 (found by counting changes, not
-    by subtracting sums). NULL until the frame is full or when it holds a NULL.
+    A frame whose rows are all equal gives exactly 0 (found from the position of the last
+    change, not by subtracting sums). NULL until the frame is full or when it holds a NULL.
     """
 
     def make(w: WindowSpec) -> Pieces:
         run = _running(w)
         x = _known(F.col(value))
-        r = x - 1
+        r = F.coalesce(x - 1, F.lit(0.0))
         large = F.abs(r) >= _LARGE_MOVE
-        n, s, q, ql, ch = (f"_{tag}_{k}" for k in ("n", "s", "q", "ql", "ch"))
-        p = Pieces()
-        p.first[f"_{tag}_pos"] = F.row_number().over(w)
+        gap, s, q, ql, change = (f"_{tag}_{k}" for k in ("gap", "s", "q", "ql", "change"))
+        p = Pieces(state=[s, q, ql], lags=list(periods))
         p.first[f"_{tag}_same"] = F.lag(value).over(w).eqNullSafe(F.col(value))
-        p.running[n] = F.count(x).over(run)
+        p.running[gap] = F.max(F.when(x.isNull(), F.col(POS))).over(run)
+        p.running[change] = F.max(F.when(~F.col(f"_{tag}_same"), F.col(POS))).over(run)
         p.running[s] = F.sum(r).over(run)
         p.running[q] = F.sum(F.when(large, 0.0).otherwise(r * r)).over(run)
         p.running[ql] = F.sum(F.when(large, r * r).otherwise(F.lit(0.0))).over(run)
-        p.running[ch] = F.count(F.when(~F.col(f"_{tag}_same"), True)).over(run)
-        state = F.struct(*[F.col(c) for c in (n, s, q, ql)])
         for period in periods:
-            b, c = f"_{tag}_{period}", f"_{tag}_{period}c"
-            p.back[b] = F.lag(state, period).over(w)
-            p.back[c] = F.lag(ch, period - 1).over(w)
-
-            def delta(name: str, b: str = b) -> Column:
-                return F.coalesce(F.col(name), F.lit(0.0)) - F.coalesce(F.col(b).getField(name), F.lit(0.0))
-
-            total = delta(s)
-            squares = delta(q) + delta(ql)
+            total = _since(s, period)
+            squares = _since(q, period) + _since(ql, period)
             var = F.greatest((squares - total * total / period) / (period - 1), F.lit(0.0))
+            flat = F.col(POS) - F.coalesce(F.col(change), F.lit(1)) >= period - 1
             p.out[f"{prefix}_{period}"] = F.when(
-                (F.col(f"_{tag}_pos") >= period) & (delta(n) == period),
-                F.when(F.col(ch) == F.col(c), F.lit(0.0)).otherwise(F.sqrt(var) * math.sqrt(YEAR_DAYS)),
+                _clear(gap, period), F.when(flat, F.lit(0.0)).otherwise(F.sqrt(var) * math.sqrt(YEAR_DAYS))
             )
         return p
 
@@ -190,12 +202,11 @@ def exponential_average(
     def make(w: WindowSpec) -> Pieces:
         run = _running(w)
         x = _known(F.col(value) + F.lit(shift) if shift else F.col(value))
-        n, pos, lead = f"_{tag}_n", f"_{tag}_pos", f"_{tag}_lead"
+        n, start = f"_{tag}_n", f"_{tag}_start"
         p = Pieces()
-        p.first[pos] = F.row_number().over(w)
         p.running[n] = F.count(x).over(run)
-        p.back[lead] = F.count(F.when(F.col(n) == 0, True)).over(run)
-        whole = F.col(pos) - F.col(lead) == F.col(n)
+        p.running[start] = F.min(F.when(x.isNotNull(), F.col(POS))).over(run)
+        whole = F.col(POS) - F.col(start) + 1 == F.col(n)
         for k in periods:
             a = 2.0 / (k + 1)
             since = (F.col(n) - k).cast("double")

@@ -9,9 +9,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows up to which a lookup table is broadcast after its size was checked.
-BROADCAST_ROWS = 1_000_000
-
 
 def local_session(cores: int | str = "*", app: str = "dayloom", partitions: int = 8) -> SparkSession:
     """A single-machine session for tests and benches; clusters bring their own."""
@@ -22,6 +19,9 @@ def local_session(cores: int | str = "*", app: str = "dayloom", partitions: int
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # Wide metric projections compile to methods the JVM would not optimise; beyond
+        # this size operators are generated one by one, in methods that are.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "16g")
@@ -61,17 +61,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when a bounded count proves it has at most ``max_rows``.
-
-    Beyond the bound the frame is returned as it is and the join shuffles, with
-    adaptive skew handling on the hot keys.
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
 def newest(df: DataFrame, date: str = "ds") -> Column:
     """The greatest date of ``df`` as a scalar subquery (one row, no join)."""
     return df.agg(F.max(date)).scalar()
