@@ -50,21 +50,22 @@ def panel(t: Tables) -> DataFrame:
     """One row per (entity, class, day), typed and keyed like loaded facts."""
     price, disc, tax = F.col("l_extendedprice"), F.col("l_discount"), F.col("l_tax")
     cents = _whole(price, 100)
-    return (
-        line_rows(t)
-        .groupBy(
-            entity_key().alias("entity_id"),
-            F.col("l_returnflag").alias("class_id"),
-            F.col("l_shipdate").cast("date").alias("ds"),
-        )
-        .agg(
-            (F.sum(_whole(price * (disc - F.lit(0.045)), 100_000)) / F.lit(1e7)).alias("income"),
-            (F.sum(cents) / F.lit(100.0)).alias("pre_close"),
-            F.sum("l_quantity").alias("units"),
-            (F.sum(_whole(price * (1 - tax), 10_000)) / F.lit(1e4)).alias("close_value"),
-            F.sum("l_quantity").alias("holders"),
-            (F.sum(F.when(F.col("l_linestatus") == "O", cents).otherwise(-cents)) / F.lit(1e5)).alias("net_flow"),
-        )
+    # Aggregated on the narrow supplier number; the text key is made on the result.
+    daily = t.lineitem.groupBy(
+        "l_suppkey", F.col("l_returnflag").alias("class_id"), F.col("l_shipdate").cast("date").alias("ds")
+    ).agg(
+        (F.sum(_whole(price * (disc - F.lit(0.045)), 100_000)) / F.lit(1e7)).alias("income"),
+        (F.sum(cents) / F.lit(100.0)).alias("pre_close"),
+        F.sum("l_quantity").alias("units"),
+        (F.sum(_whole(price * (1 - tax), 10_000)) / F.lit(1e4)).alias("close_value"),
+        F.sum("l_quantity").alias("holders"),
+        (F.sum(F.when(F.col("l_linestatus") == "O", cents).otherwise(-cents)) / F.lit(1e5)).alias("net_flow"),
+    )
+    keys = t.supplier.join(t.nation, F.col("n_nationkey") == F.col("s_nationkey")).select(
+        "s_suppkey", entity_key().alias("entity_id")
+    )
+    return daily.join(keys, F.col("s_suppkey") == F.col("l_suppkey")).select(
+        "entity_id", "class_id", "ds", "income", "pre_close", "units", "close_value", "holders", "net_flow"
     )
 
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,3 +88,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def in_threads(spark: SparkSession, jobs: Sequence[Callable[[], object]], threads: int = 4) -> list:
+    """Submit independent Spark jobs from a few driver threads, as parallel tuning does."""
+    pool = ThreadPool(min(threads, max(1, len(jobs))))
+    run = inheritable_thread_target(spark)(lambda job: job())
+    try:
+        return pool.map(run, jobs)
+    finally:
+        pool.close()
