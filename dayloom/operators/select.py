@@ -19,14 +19,12 @@ SERIES = ("entity_id", "class_id")
 
 
 def last_known(value: str, date: str = "ds") -> Column:
-    """Aggregate: the newest non-null value."""
-    pair = F.struct(F.col(date), F.col(value))
-    return F.max(F.when(F.col(value).isNotNull(), pair)).getField(value)
+    """Aggregate: the newest non-null value.
 
-
-def value_at_end(value: str, date: str = "ds") -> Column:
-    """Aggregate: the value of the newest row, NULL or not."""
-    return F.max_by(value, date)
+    Date and number are fixed-width, so the aggregate stays hash-based; a struct as the
+    running maximum would make Spark sort all source rows first.
+    """
+    return F.max_by(value, F.when(F.col(value).isNotNull(), F.col(date)))
 
 
 def series_span(

@@ -89,6 +89,14 @@ def test_no_window_over_an_entity(spark):
     assert "Window" not in plan
 
 
+def test_series_summary_is_hash_aggregated(spark):
+    df = facts(spark, [("a", "x", 0, 1.0, 1.0), ("a", "x", 1, None, 7.0), ("a", "x", 2, None, None)])
+    span = S.series_span(df, KEYS)
+    r = span.first()
+    assert (r.close_value, r.holders, r.n_rows, r.n_days) == (1.0, 7.0, 3, 3)
+    assert "SortAggregate" not in span._jdf.queryExecution().executedPlan().toString()
+
+
 def test_share_of_days(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 0.0), ("a", None), ("a", 2.0)], "k string, v double")
     assert S.share_of_days(df, ["k"], F.col("v") != 0).first().activity == 0.5
