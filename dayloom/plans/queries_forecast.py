@@ -93,8 +93,54 @@ def forecast_fan(t: Tables) -> DataFrame:
     return rounded(out, "value", "conf_lo", "conf_hi")
 
 
+_CANDIDATES_SQL = """
+  SELECT s.entity_id, s.ds AS cut, CAST(h AS INTEGER) AS h, CAST(s.ds + CAST(h AS INTEGER) AS DATE) AS ds, m.model,
+         CASE m.model WHEN 'seasonal_naive' THEN k.ret WHEN 'last' THEN s.last
+              WHEN 'drift' THEN s.last + h * (s.last - s.first) / greatest(s.n - 1, 1)
+              WHEN 'mean_30' THEN s.mean_30 ELSE COALESCE(s.ema_30, s.mean_30) END AS yhat
+  FROM state s, steps, (SELECT UNNEST(['seasonal_naive', 'last', 'drift', 'mean_30', 'ema_30']) AS model) m,
+       known k
+  WHERE k.entity_id = s.entity_id AND k.ds = CAST(s.ds - 6 + CAST((h - 1) % 7 AS INTEGER) AS DATE)"""
+_A30 = "(2.0::DOUBLE / 31)"
+STATE_SQL = (
+    KNOWN_SQL
+    + f""",
+steps AS (SELECT UNNEST(range(1, 29)) AS h),
+numbered_returns AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY entity_id ORDER BY ds) AS rn FROM known),
+state AS (
+  SELECT entity_id, ds, ret AS last, FIRST_VALUE(ret) OVER w AS first, rn AS n,
+         AVG(ret) OVER (PARTITION BY entity_id ORDER BY ds ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS mean_30,
+         CASE WHEN rn >= 30 THEN pow(1 - {_A30}, rn - 30) * SUM(CASE WHEN rn <= 30 THEN ret / 30
+              ELSE {_A30} * ret * pow(1 - {_A30}, 30 - rn) END) OVER w END AS ema_30
+  FROM numbered_returns WINDOW w AS (PARTITION BY entity_id ORDER BY ds)
+),
+candidates AS ({_CANDIDATES_SQL}
+    AND (DATE '{CUT}' - s.ds) % 28 = 0 AND DATE '{CUT}' - s.ds BETWEEN 0 AND 364
+),
+tested AS (
+  SELECT c.*, CAST((DATE '{CUT}' - cut) / 28 AS INTEGER) AS slice, k.ret AS y
+  FROM candidates c JOIN known k USING (entity_id, ds) WHERE cut < DATE '{CUT}'
+)"""
+)
+
+
+def _backtest(t: Tables, windows: int = forecast.WINDOWS) -> DataFrame:
+    return forecast.backtest(known_returns(t), cut(), windows=windows, series_rows=calendar_rows(t))
+
+
 def _tested(t: Tables) -> DataFrame:
-    return materialise(forecast.backtest(known_returns(t), cut(), series_rows=calendar_rows(t)), "backtest")
+    return materialise(_backtest(t), "backtest")
+
+
+@query(
+    "backtest_accuracy",
+    f"WITH {STATE_SQL} SELECT model, slice, ROUND(sqrt(AVG(pow(y - yhat, 2))), 9) AS rmse, ROUND(AVG(abs(y - yhat)), 9) AS mae, COUNT(*) AS n "
+    "FROM tested GROUP BY ALL",
+)
+def backtest_accuracy(t: Tables) -> DataFrame:
+    """Errors of every candidate in each of thirteen rolling-origin slices."""
+    out = accuracy(_backtest(t), ["model", "slice"]).select("model", "slice", "rmse", "mae", "n")
+    return rounded(out, "rmse", "mae", digits=9)
 
 
 @query("leaderboard")
@@ -104,18 +150,37 @@ def leaderboard(t: Tables) -> DataFrame:
     return forecast.leaderboard(forecast.with_ensemble(tested, accuracy(tested)))
 
 
-@query("quantile_forecast")
+@query(
+    "quantile_forecast",
+    f"""
+WITH {STATE_SQL},
+best AS (SELECT model FROM (SELECT model, sqrt(AVG(pow(y - yhat, 2))) AS r FROM tested GROUP BY model) ORDER BY r, model LIMIT 1),
+spread AS (SELECT h, {", ".join(f"quantile_cont(y - yhat, {p}) AS {q}" for q, p in forecast.LEVELS.items())}
+           FROM tested SEMI JOIN best USING (model) GROUP BY h)
+SELECT entity_id, ds, h, model, ROUND(yhat, 9) + 0.0 AS mean, {", ".join(f"ROUND(yhat + {q}, 9) + 0.0 AS {q}" for q in forecast.LEVELS)}
+FROM candidates SEMI JOIN best USING (model) JOIN spread USING (h) WHERE cut = DATE '{CUT}'
+""",
+)
 def quantile_forecast(t: Tables) -> DataFrame:
     """Best candidate 28 days ahead with four quantiles from back-test errors."""
-    return forecast.quantile_forecast(known_returns(t), cut(), _tested(t), series_rows=calendar_rows(t))
+    out = forecast.quantile_forecast(known_returns(t), cut(), _tested(t), series_rows=calendar_rows(t))
+    return rounded(out, "mean", *forecast.LEVELS, digits=9)
 
 
-@query("interval_forecast")
+@query(
+    "interval_forecast",
+    f"""
+WITH {STATE_SQL},
+width AS (SELECT model, quantile_cont(abs(y - yhat), 0.95) AS width FROM tested WHERE slice = 1 GROUP BY model)
+SELECT entity_id, cut, h, ds, model, ROUND(yhat, 9) + 0.0 AS yhat, ROUND(yhat - width, 9) + 0.0 AS conf_lo, ROUND(yhat + width, 9) + 0.0 AS conf_hi
+FROM candidates JOIN width USING (model) WHERE cut = DATE '{CUT}'
+""",
+)
 def interval_forecast(t: Tables) -> DataFrame:
     """Every candidate 28 days ahead with an interval from held-out errors."""
     state = forecast.forecast_state(known_returns(t), series_rows=calendar_rows(t)).where(F.col("ds") == cut())
-    held_out = forecast.backtest(known_returns(t), cut(), windows=1, series_rows=calendar_rows(t))
-    return forecast.interval_forecast(forecast.paths(state), held_out)
+    out = forecast.interval_forecast(forecast.paths(state), _backtest(t, windows=1))
+    return rounded(out, "yhat", "conf_lo", "conf_hi", digits=9)
 
 
 def quantile_rows(t: Tables) -> DataFrame:
