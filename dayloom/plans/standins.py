@@ -16,6 +16,7 @@ from dayloom.functions.measures import composite_key
 
 AS_OF = "2001-11-04"
 CUT = "2001-06-30"
+BROADCAST_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -64,6 +65,10 @@ def panel(t: Tables) -> DataFrame:
     keys = t.supplier.join(t.nation, F.col("n_nationkey") == F.col("s_nationkey")).select(
         "s_suppkey", entity_key().alias("entity_id")
     )
+    # Checked: the key table is broadcast up to a row count, beyond it the join shuffles.
+    # Without the hint the planner may broadcast the aggregate and stream the key table.
+    if t.supplier.count() <= BROADCAST_ROWS:
+        keys = F.broadcast(keys)
     return daily.join(keys, F.col("s_suppkey") == F.col("l_suppkey")).select(
         "entity_id", "class_id", "ds", "income", "pre_close", "units", "close_value", "holders", "net_flow"
     )
