@@ -1,0 +1,10 @@
+from __future__ import annotations
+
+import pytest
+
+
+@pytest.fixture(scope="session", autouse=True)
+def shared(spark, tmp_path_factory):
+    """The folder a cluster would share; set here because tests have none."""
+    if spark.conf.get("spark.checkpoint.dir", None) is None:
+        spark.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
