@@ -29,6 +29,8 @@ from dayloom.session import shared_path
 
 CHUNK_BYTES = 8 << 20
 KEYS_A_BUCKET = 1 << 20
+#: What a row counts besides its text, so that rows without text fill chunks too (131,072 rows at most).
+ROW_BYTES = 64
 ANSWER = "chunk long, bucket int, n binary"
 REQUEST = "chunk long, bucket int, keys binary, n binary"
 
@@ -68,9 +70,9 @@ def cut(docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "text"), chunk_by
     schema = T.StructType([T.StructField("chunk", T.LongType()), *docs.schema.fields])
 
     def chunks(batches):
-        base, k, held = TaskContext.get().partitionId() << 32, 0, 0
+        base, k, held = TaskContext.get().partitionId() << 22, 0, 0
         for b in batches:
-            sizes = pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            sizes = pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64) + ROW_BYTES
             ends = np.cumsum(sizes) + held
             ids = base + k + ends // chunk_bytes
             held = int(ends[-1]) % chunk_bytes if len(ends) else held
@@ -135,7 +137,7 @@ def _added(rows: pa.Table) -> tuple[list[int], list[np.ndarray], np.ndarray, np.
 def answer(requests: DataFrame) -> DataFrame:
     """Each chunk's keys answered, in its own order, with the sum of the weights over all chunks."""
 
-    def add(key, rows: pa.Table) -> pa.Table:
+    def add(key, rows):
         chunks, keys, _, inverse, total = _added(rows)
         edges = np.cumsum([0, *map(len, keys)])
         back = total[inverse]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dayloom.llm import bpe
+from dayloom.llm import bpe, jaccard_join, recompression
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,5 +26,17 @@ def op8_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(read(spark, folder, "documents"), word_bpe_path())
 
 
-QUERIES: dict[str, Query] = {"op8_bpe_codec": op8_bpe_codec}
+def op10_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.classes(read(spark, folder, "documents"))
+
+
+def op4_recompression(spark: SparkSession, folder: str) -> DataFrame:
+    return recompression.digests(read(spark, folder, "documents"))
+
+
+QUERIES: dict[str, Query] = {
+    "op4_recompression": op4_recompression,
+    "op8_bpe_codec": op8_bpe_codec,
+    "op10_ngram_jaccard": op10_ngram_jaccard,
+}
 SQL: dict[str, str] = {}
