@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", app: str = "dayloom", partitions: int = 8) -> SparkSession:
-    """A single-machine session for tests and benches; clusters bring their own."""
+    """A single-machine session for tests and benches, with a shared folder of its own; clusters bring theirs."""
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -26,6 +26,7 @@ def local_session(cores: int | str = "*", app: str = "dayloom", partitions: int
         .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="dayloom-"))
         .config("spark.driver.memory", "16g")
         .getOrCreate()
     )
@@ -34,18 +35,10 @@ def local_session(cores: int | str = "*", app: str = "dayloom", partitions: int
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``.
-
-    Only a local session without that setting gets a folder of its own; on a
-    cluster a machine-local folder would lose data with the executor.
-    """
+    """The folder every executor can reach: ``spark.checkpoint.dir``, which the session must name."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.conf.get("spark.master", "local").startswith("local"):
+    if not folder:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="dayloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
