@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from dayloom.llm import bpe, jaccard_join, recompression
+from dayloom.llm import bpe, cotraining, crf_language, decontamination, jaccard_join, line_dedup, multi_index, quotes, recompression, suffix_tree
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,13 +31,54 @@ def op10_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.classes(read(spark, folder, "documents"))
 
 
+def op2_suffix_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """Learns from documents whose id's checksum modulo 5 is not 1 and scores all."""
+    part = F.crc32(F.col("doc_id").cast("string")) % 5
+    return suffix_tree.score(read(spark, folder, "documents"), part != 1).withColumn("held_out", F.coalesce(part == 1, F.lit(False)))
+
+
 def op4_recompression(spark: SparkSession, folder: str) -> DataFrame:
     return recompression.digests(read(spark, folder, "documents"))
 
 
+def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.clean(read(spark, folder, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.leaks(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+def op5_cotraining(spark: SparkSession, folder: str) -> DataFrame:
+    scored = cotraining.classify(read(spark, folder, "documents"), read(spark, folder, "labels"))
+    return scored.select("doc_id", "keep", "score", "text_score", "meta_score")
+
+
+def op6_crf_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Learns from documents whose id's checksum modulo 4 is not 2 and predicts all."""
+    part = F.crc32(F.col("doc_id").cast("string")) % 4
+    docs = read(spark, folder, "documents")
+    return crf_language.predict(docs, crf_language.train(docs, part != 2)).withColumn("held_out", F.coalesce(part == 2, F.lit(False)))
+
+
+def op7_multi_index(spark: SparkSession, folder: str) -> DataFrame:
+    return multi_index.nearest(read(spark, folder, "embeddings"))
+
+
+def op9_quotation_linking(spark: SparkSession, folder: str) -> DataFrame:
+    return quotes.threaded(read(spark, folder, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_line_dedup": op1_line_dedup,
+    "op2_suffix_tree": op2_suffix_tree,
+    "op3_decontamination": op3_decontamination,
     "op4_recompression": op4_recompression,
+    "op5_cotraining": op5_cotraining,
+    "op6_crf_language": op6_crf_language,
+    "op7_multi_index": op7_multi_index,
     "op8_bpe_codec": op8_bpe_codec,
+    "op9_quotation_linking": op9_quotation_linking,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_line_dedup": line_dedup.SQL}
