@@ -26,7 +26,7 @@ from dayloom.functions.measures import YEAR_DAYS
 HORIZONS = (15, 30, 90, 180, 365)
 # exp() of 600 stays far inside a double; beyond it the closed-form average is not used.
 _SAFE_EXPONENT = 600.0
-# Running squares of large and of small moves are kept apart, so that one jump does
+# Running sums of large and of small moves are kept apart, so that one jump does
 # not swallow the digits of the quiet days after it.
 _LARGE_MOVE = 0.01
 
@@ -160,17 +160,23 @@ def volatility(
         x = _known(F.col(value))
         r = F.coalesce(x - 1, F.lit(0.0))
         large = F.abs(r) >= _LARGE_MOVE
-        gap, s, q, ql, change = (f"_{tag}_{k}" for k in ("gap", "s", "q", "ql", "change"))
-        p = Pieces(state=[s, q, ql], lags=list(periods))
+        small = F.when(large, 0.0).otherwise(r)
+        gap, s, q, sl, ql, jump, change = (f"_{tag}_{k}" for k in ("gap", "s", "q", "sl", "ql", "jump", "change"))
+        p = Pieces(state=[s, q, sl, ql], lags=list(periods))
         p.first[f"_{tag}_same"] = F.lag(value).over(w).eqNullSafe(F.col(value))
         p.running[gap] = F.max(F.when(x.isNull(), F.col(POS))).over(run)
         p.running[change] = F.max(F.when(~F.col(f"_{tag}_same"), F.col(POS))).over(run)
-        p.running[s] = F.sum(r).over(run)
-        p.running[q] = F.sum(F.when(large, 0.0).otherwise(r * r)).over(run)
-        p.running[ql] = F.sum(F.when(large, r * r).otherwise(F.lit(0.0))).over(run)
+        p.running[jump] = F.max(F.when(large, F.col(POS))).over(run)
+        # Small moves are summed exactly, so that quiet frames lose no digits after busy ones;
+        # sums of large moves count only in frames that hold one.
+        p.running[s] = F.sum(small.cast("decimal(38,24)")).over(run)
+        p.running[q] = F.sum((small * small).cast("decimal(38,32)")).over(run)
+        p.running[sl] = F.sum(F.when(large, r).otherwise(0.0)).over(run)
+        p.running[ql] = F.sum(F.when(large, r * r).otherwise(0.0)).over(run)
         for period in periods:
-            total = _since(s, period)
-            squares = _since(q, period) + _since(ql, period)
+            calm = _clear(jump, period)
+            total = _since(s, period).cast("double") + F.when(calm, 0.0).otherwise(_since(sl, period))
+            squares = _since(q, period).cast("double") + F.when(calm, 0.0).otherwise(_since(ql, period))
             var = F.greatest((squares - total * total / period) / (period - 1), F.lit(0.0))
             flat = F.col(POS) - F.coalesce(F.col(change), F.lit(1)) >= period - 1
             p.out[f"{prefix}_{period}"] = F.when(

@@ -43,12 +43,17 @@ def series_span(
         F.count(F.lit(1)).alias("n_rows"),
         *[last_known(v, date).alias(v) for v in values if v in facts.columns],
     )
-    stop = F.col("last_ds") if alive_days is None else extended_stop("last_ds", gmax, alive_days)
-    return span.withColumn("end_ds", stop).withColumns(
-        {
-            "n_days": (F.datediff("end_ds", "first_ds") + 1).cast("bigint"),
-            "alive": F.col("end_ds") == gmax,
-        }
+    span = span.withColumn("_newest", gmax)  # the scalar is bound once and then used by name
+    stop = F.col("last_ds") if alive_days is None else extended_stop("last_ds", F.col("_newest"), alive_days)
+    return (
+        span.withColumn("end_ds", stop)
+        .withColumns(
+            {
+                "n_days": (F.datediff("end_ds", "first_ds") + 1).cast("bigint"),
+                "alive": F.col("end_ds") == F.col("_newest"),
+            }
+        )
+        .drop("_newest")
     )
 
 
@@ -128,5 +133,6 @@ def share_of_days(df: DataFrame, keys: Sequence[str], flag: Column, name: str =
 
 
 def null_safe_sum(c: str) -> Column:
-    """Sum that is NULL as soon as one value is NULL."""
-    return F.when(F.count(c) == F.count(F.lit(1)), F.sum(c))
+    """Sum that is NULL as soon as one value is NULL, in decimals so that the order of rows does not matter."""
+    exact = F.sum(F.col(c).cast("decimal(28,7)")).cast("double")
+    return F.when(F.count(c) == F.count(F.lit(1)), exact)

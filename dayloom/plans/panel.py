@@ -33,13 +33,15 @@ def main_class_panel(
     strict: bool = True,
     alive_days: int = ALIVE_DAYS,
     as_return: bool = False,
+    global_max: Column | None = None,
 ) -> DataFrame:
     """Daily growth of the main class of every live entity.
 
     The class is chosen on source rows, so only the chosen series are padded. The fact
     rows are shuffled once; join, padding and later metric windows share the exchange.
+    ``global_max`` may give the newest date from a cheaper source than ``facts``.
     """
-    gmax = newest(facts, date)
+    gmax = newest(facts, date) if global_max is None else global_max
     chosen = active_main_class(facts, keys, date, min_days, strict, alive_days, global_max=gmax)
     kept = spread(facts, keys).join(chosen, list(keys), "left_semi")
     panel = clean_panel(kept, keys, date, alive_days, global_max=gmax, already_spread=True)
@@ -53,6 +55,7 @@ def entity_panel(
     min_days: int = 365,
     alive_days: int = ALIVE_DAYS,
     measures: Sequence[str] = MEASURES,
+    global_max: Column | None = None,
 ) -> DataFrame:
     """All classes of an entity summed per day; entities with at least ``min_days`` days.
 
@@ -60,7 +63,7 @@ def entity_panel(
     of a window over all its rows.
     """
     entity = keys[0]
-    panel = clean_panel(facts, keys, date, alive_days)
+    panel = clean_panel(facts, keys, date, alive_days, global_max=global_max)
     daily = panel.groupBy(entity, date).agg(*[null_safe_sum(m).alias(m) for m in measures])
     long_enough = daily.groupBy(entity).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_days)
     return with_growth(daily.join(long_enough.select(entity), entity, "left_semi"))
@@ -108,13 +111,17 @@ def with_cover(df: DataFrame, periods: Sequence[int] = rolling.HORIZONS) -> Data
 
 
 def extended_panel(
-    facts: DataFrame, main_only: bool = True, keys: Sequence[str] = SERIES, date: str = "ds"
+    facts: DataFrame, main_only: bool = True, keys: Sequence[str] = SERIES, date: str = "ds",
+    global_max: Column | None = None, series_rows: int | None = None,
 ) -> DataFrame:
-    """Panel with all metrics, for main classes or for entities summed over classes."""
-    rows = calendar_rows(facts, date)
+    """Panel with all metrics, for main classes or for entities summed over classes.
+
+    ``global_max`` and ``series_rows`` may be given from a cheaper source than ``facts``.
+    """
+    rows = calendar_rows(facts, date) if series_rows is None else series_rows
     if main_only:
-        return risk_return_metrics(main_class_panel(facts, keys, date), keys, date, series_rows=rows)
-    return risk_return_metrics(entity_panel(facts, keys, date), keys[:1], date, series_rows=rows)
+        return risk_return_metrics(main_class_panel(facts, keys, date, global_max=global_max), keys, date, series_rows=rows)
+    return risk_return_metrics(entity_panel(facts, keys, date, global_max=global_max), keys[:1], date, series_rows=rows)
 
 
 def since(df: DataFrame, start: Column, date: str = "ds") -> DataFrame:

@@ -8,27 +8,27 @@ from pyspark.sql import functions as F
 from dayloom.plans import clustering
 from dayloom.plans.catalog import query
 from dayloom.plans.queries_features import series_rows
+from dayloom.plans import standins
 from dayloom.plans.standins import Tables
 from dayloom.session import materialise
 
-# Days two aligned points may be apart under the warping distance.
-BAND = {"band": 14}
-
 
 def _series(t: Tables) -> DataFrame:
-    return materialise(clustering.series_vectors(series_rows(t)), "series")
+    """Series of the two years that facts are loaded for by default; every alignment of their days is allowed."""
+    recent = series_rows(t).where(F.col("ds") > F.add_months(standins.newest_day(t), -24))
+    return materialise(clustering.series_vectors(recent), "series")
 
 
 @query("dtw_cluster")
 def dtw_cluster(t: Tables) -> DataFrame:
     """Five clusters of the daily growth series under the soft warping distance."""
-    return clustering.cluster_series(_series(t), 5, options=BAND)
+    return clustering.cluster_series(_series(t), 5)
 
 
 @query("dtw_scan")
 def dtw_scan(t: Tables) -> DataFrame:
     """Validity indices for three to nine clusters under the soft warping distance."""
-    return clustering.scan_k(_series(t), options=BAND)
+    return clustering.scan_k(_series(t))
 
 
 def _vectors(t: Tables) -> DataFrame:

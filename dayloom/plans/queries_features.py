@@ -51,44 +51,44 @@ def monthly_to_daily(t: Tables) -> DataFrame:
 @query(
     "future_frame",
     f"""
-WITH {KNOWN_SQL},
-ends AS (SELECT entity_id, MAX(ds) AS m FROM known GROUP BY entity_id)
-SELECT entity_id, ds, ROUND(ret, 9) + 0.0 AS ret FROM known
+WITH {RETURNS_SQL},
+ends AS (SELECT entity_id, MAX(ds) AS m FROM returns GROUP BY entity_id)
+SELECT entity_id, ds, ROUND(ret, 9) + 0.0 AS ret FROM returns
 UNION ALL
 SELECT entity_id, CAST(UNNEST(generate_series(m + 1, m + 28, INTERVAL 1 DAY)) AS DATE) AS ds, NULL FROM ends
 """,
 )
 def future_frame(t: Tables) -> DataFrame:
     """Every series with its next 28 days appended."""
-    return rounded(padding.future_frame(known_returns(t), ["entity_id"], 28), "ret", digits=9)
+    return rounded(padding.future_frame(returns(t), ["entity_id"], 28), "ret", digits=9)
 
 
 @query(
     "time_split",
-    f"WITH {KNOWN_SQL} SELECT entity_id, ds, CASE WHEN ds > (SELECT MAX(ds) FROM known) - 30 THEN 'test' ELSE 'train' END AS role FROM known",
+    f"WITH {RETURNS_SQL} SELECT entity_id, ds, CASE WHEN ds > (SELECT MAX(ds) FROM returns) - 30 THEN 'test' ELSE 'train' END AS role FROM returns",
 )
 def time_split(t: Tables) -> DataFrame:
     """Last thirty days of the panel as test rows, all earlier rows as train rows."""
-    train, test = splits.time_split(known_returns(t).select("entity_id", "ds"), 30)
+    train, test = splits.time_split(returns(t).select("entity_id", "ds"), 30, last=standins.newest_day(t))
     return train.withColumn("role", F.lit("train")).unionByName(test.withColumn("role", F.lit("test")))
 
 
 @query(
     "split_plan",
-    f"WITH {KNOWN_SQL}, l AS (SELECT ds, CASE WHEN ds > (SELECT MAX(ds) FROM known) - 28 THEN 'test' ELSE 'train' END AS role FROM known) "
+    f"WITH {RETURNS_SQL}, l AS (SELECT ds, CASE WHEN ds > (SELECT MAX(ds) FROM returns) - 28 THEN 'test' ELSE 'train' END AS role FROM returns) "
     "SELECT role, MIN(ds) AS first_ds, MAX(ds) AS last_ds, COUNT(*) AS n FROM l GROUP BY role",
 )
 def split_plan(t: Tables) -> DataFrame:
     """The split as a table of ranges and sizes."""
-    plan = splits.split_plan(known_returns(t).select("ds"), 28)
+    plan = splits.split_plan(returns(t).select("ds"), 28, last=standins.newest_day(t))
     return plan.groupBy("role").agg(F.min("ds").alias("first_ds"), F.max("ds").alias("last_ds"), F.count(F.lit(1)).alias("n"))
 
 
 @query(
     "rolling_origin",
     f"""
-WITH {KNOWN_SQL},
-two AS (SELECT entity_id, ds FROM known WHERE ds >= DATE '1999-06-30'),
+WITH {RETURNS_SQL},
+two AS (SELECT entity_id, ds FROM returns WHERE ds >= (SELECT MAX(ds) FROM returns) - INTERVAL 24 MONTH),
 slices AS (SELECT UNNEST(range(1, 14)) AS slice),
 labelled AS (
   SELECT entity_id, ds, slice, (SELECT MAX(ds) FROM two) - ds AS age FROM two, slices
@@ -99,8 +99,9 @@ FROM labelled WHERE age >= (slice - 1) * 28
 )
 def rolling_origin(t: Tables) -> DataFrame:
     """Thirteen expanding back-test slices over the last two years."""
-    two = known_returns(t).select("entity_id", "ds").where(F.col("ds") >= F.add_months(F.lit(CUT).cast("date"), -24))
-    return splits.rolling_origin(two)
+    newest = standins.newest_day(t)
+    two = returns(t).select("entity_id", "ds").where(F.col("ds") >= F.add_months(newest, -24))
+    return splits.rolling_origin(two, last=newest)
 
 
 @query(
@@ -167,16 +168,16 @@ def ns_basis(t: Tables) -> DataFrame:
 @query(
     "lag_features",
     f"""
-WITH {KNOWN_SQL}, {REGRESSOR_SQL}
+WITH {RETURNS_SQL}, {REGRESSOR_SQL}
 SELECT entity_id, k.ds, ROUND(m.monthly, 6) AS monthly_lag, ROUND(d.daily_2, 6) AS daily_2_lag
-FROM known k LEFT JOIN monthly m ON m.ds = k.ds - 136 LEFT JOIN daily_2 d ON d.ds = k.ds - 117
+FROM returns k LEFT JOIN monthly m ON m.ds = k.ds - 136 LEFT JOIN daily_2 d ON d.ds = k.ds - 117
 """,
 )
 def lag_features(t: Tables) -> DataFrame:
     """Two regressors lagged on their own calendars and joined by day."""
     r = regressors(t)
     out = features.join_regressors(
-        known_returns(t).select("entity_id", "ds"),
+        returns(t).select("entity_id", "ds"),
         [features.lagged_regressor(r["monthly"], 136, "monthly"), features.lagged_regressor(r["daily_2"], 117, "daily_2")],
     )
     return rounded(out, "monthly_lag", "daily_2_lag")
@@ -186,10 +187,10 @@ _MA7_SQL = "CASE WHEN COUNT(ret) OVER w = 7 THEN AVG(ret) OVER w END"
 _MA7_WINDOW = "WINDOW w AS (PARTITION BY entity_id ORDER BY ds ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)"
 
 
-@query("ma7", f"WITH {KNOWN_SQL} SELECT entity_id, ds, ROUND({_MA7_SQL}, 9) + 0.0 AS ma7 FROM known {_MA7_WINDOW}")
+@query("ma7", f"WITH {RETURNS_SQL} SELECT entity_id, ds, ROUND({_MA7_SQL}, 9) + 0.0 AS ma7 FROM returns {_MA7_WINDOW}")
 def ma7(t: Tables) -> DataFrame:
     """Mean return of the seven days before."""
-    out = rolling.with_pieces(known_returns(t), ["entity_id"], "ds", rolling.lagged_mean("ret"))
+    out = rolling.with_pieces(returns(t), ["entity_id"], "ds", rolling.lagged_mean("ret"))
     return rounded(out.select("entity_id", "ds", "ma7"), "ma7", digits=9)
 
 

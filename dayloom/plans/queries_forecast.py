@@ -227,14 +227,14 @@ def recipe_rows(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
 def recipe_grid(t: Tables) -> DataFrame:
     """Sixteen feature recipes fitted on the train rows and compared on the test rows."""
     train, test, _ = recipe_rows(t)
-    return accuracy(recipes.model_table(recipes.fit_recipes(train), test))
+    return accuracy(recipes.recipe_table(recipes.fit_recipes(train), train, test))
 
 
 @query("model_search")
 def model_search(t: Tables) -> DataFrame:
     """Cross-validated model families on one recipe, compared on the test rows."""
     train, test, _ = recipe_rows(t)
-    fitted, _scores = recipes.model_search(train, recipes.RECIPES[12], folds=3)
+    fitted, _scores = recipes.model_search(train, recipes.RECIPES[12])
     return accuracy(recipes.model_table({n: m.bestModel for n, m in fitted.items()}, test))
 
 

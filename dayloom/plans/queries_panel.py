@@ -41,9 +41,7 @@ def raw_feed(t: Tables) -> DataFrame:
     )
 
 
-@query(
-    "fact_load_typed",
-    f"""
+_TYPED_SQL = """
 SELECT CAST(l_shipdate AS DATE) AS ds,
        concat_ws('_', n_regionkey, s_nationkey, s_suppkey % 4, s_suppkey) AS entity_id,
        l_returnflag AS class_id,
@@ -53,16 +51,30 @@ SELECT CAST(l_shipdate AS DATE) AS ds,
              + CASE WHEN l_linenumber = 1 THEN NULL ELSE l_tax END, 6) AS net_flow
 FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey
 WHERE s_suppkey % 4 <> 3 AND CAST(l_shipdate AS DATE) BETWEEN DATE '1999-11-04' AND DATE '2001-11-04'
-""",
-)
-def fact_load_typed(t: Tables) -> DataFrame:
-    """Text feed to typed facts of the last two years, one subtype left out."""
+"""
+
+
+def _typed(raw: DataFrame) -> DataFrame:
     as_of = F.lit(standins.AS_OF).cast("date")
-    start, stop = F.add_months(as_of, -24), as_of
-    out = FS.load_facts(raw_feed(t), start, stop, excluded_subtypes=("3",))
+    out = FS.load_facts(raw, F.add_months(as_of, -24), as_of, excluded_subtypes=("3",))
     return rounded(out, "income", "pre_close", "close_value", "net_flow")
 
 
+@query("fact_load_typed", _TYPED_SQL)
+def fact_load_typed(t: Tables) -> DataFrame:
+    """Text feed to typed facts of the last two years, one subtype left out."""
+    return _typed(raw_feed(t))
+
+
+@query("fact_scan_landed", _TYPED_SQL)
+def fact_scan_landed(t: Tables) -> DataFrame:
+    """The feed landed as JSON in the shared folder, scanned by its text schema and typed."""
+    path = shared_path(t.spark, "feed")
+    feed = raw_feed(t)
+    feed.select(*[F.col(n).alias(landed) for landed, n in FS.FEED_COLUMNS.items()]).write.json(path)
+    return _typed(FS.read_feed(t.spark, path))
+
+
 @query(
     "predicates",
     f"""
@@ -261,8 +273,9 @@ def main_class_flag(t: Tables) -> DataFrame:
     "entity_sum_panel",
     f"""
 WITH {CLEAN_SQL},
-daily AS (SELECT entity_id, ds, SUM(income) AS income, SUM(pre_close) AS pre_close, SUM(units) AS units,
-                 SUM(close_value) AS close_value, SUM(holders) AS holders, SUM(net_flow) AS net_flow
+daily AS (SELECT entity_id, ds, """
+    + ", ".join(f"CAST(SUM(CAST({c} AS DECIMAL(28, 7))) AS DOUBLE) AS {c}" for c in MEASURES)
+    + f"""
           FROM clean GROUP BY ALL),
 sized AS (SELECT *, COUNT(*) OVER (PARTITION BY entity_id) AS n FROM daily)
 SELECT entity_id, ds, {rsql('units', 'close_value', 'holders', 'net_flow', digits=6)},
@@ -273,17 +286,17 @@ FROM sized WHERE n >= 365
 )
 def entity_sum_panel(t: Tables) -> DataFrame:
     """Classes summed into their entity per day, entities of at least a year."""
-    out = P.entity_panel(standins.panel(t), SERIES)
+    out = P.entity_panel(standins.panel(t), SERIES, global_max=standins.newest_day(t))
     cols = ["units", "close_value", "holders", "net_flow", "growth"]
     return rounded(out.select("entity_id", "ds", *cols), *cols)
 
 
 def main_panel(t: Tables) -> DataFrame:
-    return P.main_class_panel(standins.panel(t), SERIES)
+    return P.main_class_panel(standins.panel(t), SERIES, global_max=standins.newest_day(t))
 
 
 def calendar_rows(t: Tables) -> int:
-    """Length of the ship-date calendar, read from column statistics."""
+    """Length of the ship-date calendar: one aggregate over the date column, when the query is built."""
     return P.calendar_rows(t.lineitem.select(F.col("l_shipdate").alias("ds")))
 
 
@@ -366,8 +379,12 @@ def ema(t: Tables) -> DataFrame:
     return rounded(out.select(*SERIES, "ds", *_names("ema")), *_names("ema"), digits=9)
 
 
-def metrics(t: Tables) -> DataFrame:
-    return P.risk_return_metrics(main_panel(t), SERIES, series_rows=calendar_rows(t))
+def metrics(t: Tables, only: DataFrame | None = None) -> DataFrame:
+    """All metrics of main classes; ``only`` keeps some entities before anything is padded."""
+    facts = standins.panel(t)
+    if only is not None:
+        facts = facts.join(only, "entity_id", "left_semi")
+    return P.extended_panel(facts, True, SERIES, global_max=standins.newest_day(t), series_rows=calendar_rows(t))
 
 
 @query(
@@ -414,8 +431,10 @@ def risk_return_panel(t: Tables) -> DataFrame:
 ENTITY_METRICS_SQL = (
     CLEAN_SQL
     + f""",
-daily AS (SELECT entity_id, '' AS class_id, ds, ROUND(SUM(income), 1) AS income, ROUND(SUM(pre_close), 1) AS pre_close,
-                 SUM(close_value) AS close_value, ROUND(SUM(net_flow), 1) AS net_flow
+daily AS (SELECT entity_id, '' AS class_id, ds, ROUND(CAST(SUM(CAST(income AS DECIMAL(28, 7))) AS DOUBLE), 1) AS income,
+                 ROUND(CAST(SUM(CAST(pre_close AS DECIMAL(28, 7))) AS DOUBLE), 1) AS pre_close,
+                 CAST(SUM(CAST(close_value AS DECIMAL(28, 7))) AS DOUBLE) AS close_value,
+                 ROUND(CAST(SUM(CAST(net_flow AS DECIMAL(28, 7))) AS DOUBLE), 1) AS net_flow
           FROM clean GROUP BY ALL),
 numbered AS (
   SELECT *, CASE WHEN pre_close - income = 0 THEN 1.0 ELSE pre_close / (pre_close - income) END AS growth,
@@ -432,15 +451,13 @@ metrics AS (
 
 @query(
     "entity_risk_panel",
-    # A sum of doubles depends on their order; where it decides the rounding to one decimal of a
-    # value ending in 5, growth moves by 1e-10. Fewer digits keep that out of the comparison.
-    f"WITH {ENTITY_METRICS_SQL} SELECT entity_id, ds, {rsql(*_ALL, digits=5)}, {rsql(*_names('ema'), digits=7)} FROM metrics",
+    f"WITH {ENTITY_METRICS_SQL} SELECT entity_id, ds, {rsql(*_ALL)}, {rsql(*_names('ema'), digits=9)} FROM metrics",
 )
 def entity_risk_panel(t: Tables) -> DataFrame:
     """The same metrics on entities summed over their classes."""
-    out = P.risk_return_metrics(P.entity_panel(standins.panel(t), SERIES), ["entity_id"], series_rows=calendar_rows(t))
-    out = rounded(out.select("entity_id", "ds", *_ALL, *_names("ema")), *_ALL, digits=5)
-    return rounded(out, *_names("ema"), digits=7)
+    out = P.extended_panel(standins.panel(t), False, SERIES, global_max=standins.newest_day(t), series_rows=calendar_rows(t))
+    out = rounded(out.select("entity_id", "ds", *_ALL, *_names("ema")), *_ALL)
+    return rounded(out, *_names("ema"), digits=9)
 
 
 @query(
@@ -459,11 +476,11 @@ FROM kept k LEFT JOIN top t USING (entity_id, class_id)
 """,
 )
 def star_facts(t: Tables) -> DataFrame:
-    """Export facts: live series of at least a year with the main-class flag."""
-    feed = padding.clean_panel(standins.panel(t), SERIES)
-    out = star.star_facts(feed, SERIES)
+    """Export facts, written as a star and read back: live series of at least a year with the main-class flag."""
+    facts = star.padded_star_facts(standins.panel(t), SERIES, global_max=standins.newest_day(t))
+    paths = write_star(facts, star.star_dims(dims(t), facts), shared_path(t.spark, "star"))
     cols = [*SERIES, "ds", "income", "close_value", "net_flow", "holders", "is_main"]
-    return rounded(out.select(*cols), "income", "close_value", "net_flow", digits=8)
+    return rounded(t.spark.read.parquet(paths["facts"]).select(*cols), "income", "close_value", "net_flow", digits=8)
 
 
 @query(
@@ -504,15 +521,15 @@ def _segment(t: Tables) -> DataFrame:
 
 
 def _screen(t: Tables, m: DataFrame) -> DataFrame:
+    """``m`` holds the entities of the segment."""
     as_of = F.lit(standins.AS_OF).cast("date")
-    newest_day = newest(t.lineitem.select(F.col("l_shipdate").cast("date").alias("ds")))
-    return screener.screen(m, as_of, _segment(t), min_activity=0.02, newest_day=newest_day)
+    return screener.screen(m, as_of, min_activity=0.02, newest_day=standins.newest_day(t))
 
 
 @query("screener", f"WITH {SCREEN_SQL} SELECT entity_id, {rsql('activity', 'min_rent')}, {rsql('min_ema', digits=9)} FROM survivors")
 def screener_query(t: Tables) -> DataFrame:
     """Segment, thirteen months, never a negative year, average and activity thresholds."""
-    out = rounded(_screen(t, metrics(t)), "activity", "min_rent")
+    out = rounded(_screen(t, metrics(t, _segment(t))), "activity", "min_rent")
     return rounded(out, "min_ema", digits=9)
 
 
@@ -533,6 +550,6 @@ FROM complete c JOIN ranked USING (entity_id) LEFT JOIN dims USING (entity_id)
 )
 def screen_rank(t: Tables) -> DataFrame:
     """Complete series of the survivors, dense-ranked by their latest yearly return."""
-    m = materialise(metrics(t), "metrics")
+    m = materialise(metrics(t, _segment(t)), "metrics")
     out = screener.ranked_series(m, _screen(t, m), dims(t))
     return rounded(out.select("entity_id", "ds", "ema_30", "last_rent", "rank", "business_name"), "ema_30", "last_rent", digits=9)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dayloom.functions.measures import composite_key
+from dayloom.session import newest
 
 AS_OF = "2001-11-04"
 CUT = "2001-06-30"
@@ -25,15 +26,23 @@ class Tables:
     folder: str
 
     def __getattr__(self, name: str) -> DataFrame:
+        """The table of that name; listed and opened once."""
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        frame = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        object.__setattr__(self, name, frame)
+        return frame
 
 
 def _whole(c: Column, scale: int) -> Column:
     return F.round(c * F.lit(float(scale))).cast("bigint")
 
 
+def newest_day(t: Tables) -> Column:
+    """The newest date of the panel, read from the date column of the source alone."""
+    return newest(t.lineitem.select(F.col("l_shipdate").cast("date").alias("ds")))
+
+
 def line_rows(t: Tables) -> DataFrame:
     """Line items with the parts of the entity key."""
     nation = t.nation.select("n_nationkey", "n_regionkey")

@@ -153,3 +153,19 @@ def test_drop_first_and_tail(spark):
     df = frame(spark, [1.0, 2.0, 3.0])
     assert sorted(column(R.drop_first(df, KEYS), "g")) == [2.0, 3.0]
     assert sorted(column(R.tail_rows(df, KEYS, 2), "g")) == [2.0, 3.0]
+
+
+def test_volatility_keeps_digits_in_quiet_frames(spark):
+    """Quiet days after busy ones and after a jump: equal to the sample deviation of the frame itself."""
+    from datetime import date, timedelta
+
+    rng = np.random.default_rng(3)
+    moves = np.concatenate([rng.normal(0, 0.003, 800), [4.0], rng.normal(0, 1e-8, 60), rng.normal(0, 1e-9, 60)])
+    rows = [("e", date(2000, 1, 1) + timedelta(days=i), float(1 + m)) for i, m in enumerate(moves)]
+    df = spark.createDataFrame(rows, "entity_id string, ds date, growth double")
+    out = R.with_pieces(df, ["entity_id"], "ds", R.volatility("growth", [15, 30])).orderBy("ds").collect()
+    x = np.array([r[2] - 1 for r in rows])
+    for p in (15, 30):
+        for i in (500, 805, 850, 880, 918):
+            want = x[i - p + 1 : i + 1].std(ddof=1) * np.sqrt(365)
+            assert out[i][f"vol_{p}"] == pytest.approx(want, rel=1e-5)

@@ -100,3 +100,31 @@ def test_series_summary_is_hash_aggregated(spark):
 def test_share_of_days(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 0.0), ("a", None), ("a", 2.0)], "k string, v double")
     assert S.share_of_days(df, ["k"], F.col("v") != 0).first().activity == 0.5
+
+
+def test_quantiles_without_broadcast(spark, monkeypatch):
+    """More sketches than may be broadcast: groups are joined in parts, with the same result."""
+    rng = np.random.default_rng(5)
+    rows = [(int(g), float(v)) for g, v in zip(rng.choice(4, 30_000, p=[0.9, 0.05, 0.03, 0.02]), rng.normal(size=30_000))]
+    df = spark.createDataFrame(rows, "g int, v double")
+    monkeypatch.setattr(Q, "SKETCHES", 1)
+    got = {r.g: (r.a, r.b) for r in Q.bracketed_quantiles(df, ["g"], "v", {"a": 0.25, "b": 0.5}).collect()}
+    for g in range(4):
+        x = np.array([v for k, v in rows if k == g])
+        assert got[g] == pytest.approx(tuple(np.quantile(x, [0.25, 0.5])))
+
+
+def test_no_exchange_of_raw_rows_by_group(spark):
+    """With few sketches, rows are counted before any exchange by the group key alone."""
+    df = spark.range(100_000).selectExpr("id % 3 AS g", "rand(1) AS v")
+    plan = Q.bracketed_quantiles(df, ["g"], "v", {"m": 0.5})._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin [g" not in plan.split("HashAggregate")[-1]
+
+
+def test_sums_do_not_depend_on_order(spark):
+    from dayloom.operators.select import null_safe_sum
+
+    rng = np.random.default_rng(1)
+    rows = [(float(v),) for v in rng.integers(-(10**12), 10**12, 4000) / 1e5]
+    totals = {spark.createDataFrame(rng.permutation(rows).tolist(), "x double").repartition(p).agg(null_safe_sum("x")).first()[0] for p in (1, 3, 7)}
+    assert len(totals) == 1
