@@ -93,7 +93,9 @@ class Items:
         self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.uint64)
         self.sieve = np.zeros(1 << 22, bool)
         self.sieve[self.pairs & np.uint64((1 << 22) - 1)] = True
-        self.lengths = np.unique(self.size)
+        lengths = np.unique(self.size)
+        # ranges of lengths within a fifth of each other
+        self.ranges = [lengths[np.floor(np.log(lengths) / np.log(1.2)) == r] for r in np.unique(np.floor(np.log(lengths) / np.log(1.2)))]
         bits = walks(h)
         self.tables = []
         for r in range(REPEATS if len(use) else 0):
@@ -109,17 +111,26 @@ class Items:
         at = np.flatnonzero(known)
         known[at] = self.pairs[np.minimum(np.searchsorted(self.pairs, pairs[at]), len(self.pairs) - 1)] == pairs[at]
         known[first[1:-1][(first[1:-1] > 0) & (first[1:-1] < n)] - 1] = False
-        total = np.concatenate([[0], np.cumsum(known), [known.sum()]])
+        total = np.zeros(n + 1, np.int32)
+        np.cumsum(known, out=total[1:n])
+        total[n] = total[n - 1]
         row_end = np.repeat(first[1:], np.diff(first))
         found = []
-        for m in self.lengths.tolist():
-            d = allowed(m)
-            # a window can be taken to start at a word that takes part in a match, with up to d words more than the item
-            here = np.arange(max(0, n - (m - d) + 1))
-            here = here[row_end[here] - here >= m - d]
-            stop = np.minimum(row_end[here], here + m + d)
-            here = here[total[stop - 1] - total[here] >= m - 1 - 2 * d]
-            found.append(np.stack([here, np.full(len(here), m)]))
+        for lengths in self.ranges:
+            # first what any length of the range needs, at every word; then each length where that holds
+            low, high = int(lengths[0]), int(lengths[-1])
+            least, wide = min(int(m) - 1 - 2 * allowed(int(m)) for m in lengths), high + allowed(high)
+            ahead = np.full(n, total[n], np.int32)
+            ahead[: max(0, n - wide + 1)] = total[wide - 1 : n] if n >= wide else 0
+            some = np.flatnonzero(ahead - total[:n] >= least)
+            some = some[row_end[some] - some >= low - allowed(low)]
+            for m in lengths.tolist():
+                d = allowed(m)
+                # a window can be taken to start at a word that takes part in a match, with up to d words more than the item
+                here = some[row_end[some] - some >= m - d]
+                stop = np.minimum(row_end[here], here + m + d)
+                here = here[total[stop - 1] - total[here] >= m - 1 - 2 * d]
+                found.append(np.stack([here, np.full(len(here), m)]))
         start, size = np.concatenate(found, axis=1)
         return np.searchsorted(first, start, "right") - 1, start, size
 
