@@ -4,9 +4,10 @@ The CGK embedding walks over a window of words: each step writes the word under
 and moves on or not, by a random bit of that word and step. Windows at a small edit distance
 give walks that agree at most steps, so keys made of the words at a few sampled steps collide
 often; ``REPEATS`` independent walks are used, which finds windows at the largest allowed
-distance with a probability of over 0.95 (tests measure it) and equal windows always. Keys
-of windows as long as a benchmark item are looked up among the item's keys; each candidate is
-then verified by its exact edit distance.
+distance with a probability of over 0.95 (tests measure it) and equal windows always. Items are taken
+in ranges of lengths within a fifth of each other; the keys of windows as long as the shortest
+item of a range are looked up among the keys of its items' beginnings; each candidate is then
+verified by its exact edit distance to the whole item.
 
 Windows that cannot match are not walked: d edits of an item of m words leave at least
 m - 1 - 2 d of its word pairs, so a window with fewer pairs known to the benchmark is passed
@@ -58,19 +59,25 @@ def normalised(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 def keys(bits: list[np.ndarray], words: np.ndarray, start: np.ndarray, size: np.ndarray, length: np.ndarray, repeat: int) -> np.ndarray:
-    """LSH key, in one of the repeats, of windows of ``size`` words of which ``length`` are there (a row may end earlier)."""
+    """LSH key, in one of the repeats, of windows of ``size`` words (ascending) of which ``length`` are there (a row may end earlier)."""
     pos, key = start.copy(), W.mix(size.astype(np.uint64) + np.uint64(repeat << 20))
-    end, steps = start + length, (size * 8) // 5
-    wanted = [(steps * u).astype(np.int64) for u in np.random.default_rng(500 + repeat).random(SAMPLES)]
-    for t in range(int(max(w.max() for w in wanted)) + 1 if len(start) else 0):
-        inside = pos < end
-        at = np.where(inside, pos, 0)
-        for w in wanted:
-            hit = np.flatnonzero(w == t)
-            if len(hit):
-                key[hit] = W.mix(key[hit] * np.uint64(5) + np.where(inside[hit], words[at[hit]], np.uint64(0)))
-        move = bits[repeat * 4 + (t >> 6) % 4][at] >> np.uint64(t & 63) & np.uint64(1)
-        pos += np.where(inside, move.astype(np.int64), 0)
+    end = start + length
+    # windows of one size are sampled at the same steps; they stand together
+    sizes, begin = np.unique(size, return_index=True)
+    parts = [slice(a, b) for a, b in zip(begin, [*begin[1:], len(size)], strict=True)]
+    wanted: dict[int, list[slice]] = {}
+    for u in np.random.default_rng(500 + repeat).random(SAMPLES):
+        for m, part in zip(sizes.tolist(), parts, strict=True):
+            wanted.setdefault(int(m * 8 // 5 * u), []).append(part)
+    alive = {t: min(p.start for s, ps in wanted.items() if s >= t for p in ps) for t in range(max(wanted, default=-1) + 1)}
+    for t, lo in alive.items():  # sizes that need no further step are left behind
+        for part in wanted.get(t, ()):
+            inside = pos[part] < end[part]
+            out = np.where(inside, words[np.where(inside, pos[part], 0)], np.uint64(0))
+            key[part] = W.mix(key[part] * np.uint64(5) + out)
+        inside = pos[lo:] < end[lo:]
+        move = bits[repeat * 4 + (t >> 6) % 4][np.where(inside, pos[lo:], 0)] >> np.uint64(t & 63) & np.uint64(1)
+        pos[lo:] += np.where(inside, move.astype(np.int64), 0)
     return key
 
 
@@ -90,21 +97,25 @@ class Items:
         self.words = [h[first[i] : first[i + 1]] for i in use]
         self.size = size[use]
         pairs = [_pairs(w) for w in self.words]
+        self.own_pairs = pairs
         self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.uint64)
         self.sieve = np.zeros(1 << 22, bool)
         self.sieve[self.pairs & np.uint64((1 << 22) - 1)] = True
         lengths = np.unique(self.size)
         # ranges of lengths within a fifth of each other
         self.ranges = [lengths[np.floor(np.log(lengths) / np.log(1.2)) == r] for r in np.unique(np.floor(np.log(lengths) / np.log(1.2)))]
+        self.low = low = np.array([next(int(r[0]) for r in self.ranges if m in r) for m in self.size], np.int64)
+        by_size = np.argsort(low, kind="stable")
         bits = walks(h)
         self.tables = []
         for r in range(REPEATS if len(use) else 0):
-            k = keys(bits, h, first[:-1][use], self.size, self.size, r)
+            k = np.empty(len(use), np.uint64)
+            k[by_size] = keys(bits, h, first[:-1][use][by_size], low[by_size], low[by_size], r)
             order = np.argsort(k, kind="stable")
             self.tables.append((k[order], order))
 
     def windows(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, start, size) of the windows with enough pairs of the benchmark, for every item length."""
+        """(row, start, size) of the windows with enough pairs of the benchmark for some length of a range; sizes ascend."""
         n = len(words)
         pairs = _pairs(words)
         known = self.sieve[pairs & np.uint64((1 << 22) - 1)]
@@ -124,13 +135,15 @@ class Items:
             ahead[: max(0, n - wide + 1)] = total[wide - 1 : n] if n >= wide else 0
             some = np.flatnonzero(ahead - total[:n] >= least)
             some = some[row_end[some] - some >= low - allowed(low)]
+            good = np.zeros(n, bool)
             for m in lengths.tolist():
                 d = allowed(m)
                 # a window can be taken to start at a word that takes part in a match, with up to d words more than the item
                 here = some[row_end[some] - some >= m - d]
                 stop = np.minimum(row_end[here], here + m + d)
-                here = here[total[stop - 1] - total[here] >= m - 1 - 2 * d]
-                found.append(np.stack([here, np.full(len(here), m)]))
+                good[here[total[stop - 1] - total[here] >= m - 1 - 2 * d]] = True
+            here = np.flatnonzero(good)
+            found.append(np.stack([here, np.full(len(here), low)]))
         start, size = np.concatenate(found, axis=1)
         return np.searchsorted(first, start, "right") - 1, start, size
 
@@ -160,7 +173,7 @@ class Items:
             which = np.repeat(some, reps)
             slot = np.repeat(lo[some], reps) + np.arange(int(reps.sum())) - np.repeat(np.cumsum(reps) - reps, reps)
             item = order[slot]
-            right = self.size[item] == size[which]
+            right = self.low[item] == size[which]
             found.append(np.stack([row[which[right]], item[right], start[which[right]]]))
         cand = np.unique(np.concatenate(found, axis=1), axis=1)
         out = []
@@ -176,6 +189,11 @@ class Items:
         w = self.words[item]
         d = allowed(len(w))
         found = []
+        # the item's own pairs in each window, before the costly distance
+        last = min(end, int(starts.max()) + len(w) + d)
+        own = np.concatenate([[0], np.cumsum(np.isin(_pairs(words[starts[0] : last]), self.own_pairs[item]))])
+        stop = np.minimum(starts + len(w) + d, last) - starts[0]
+        starts = starts[own[np.maximum(stop - 1, 0)] - own[starts - starts[0]] >= len(w) - 1 - 2 * d]
         for s in starts.tolist():
             if any(x[0] == 0 and x[1] <= s < x[2] for x in found):
                 continue

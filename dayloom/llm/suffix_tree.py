@@ -1,7 +1,8 @@
 """Probabilistic suffix tree over words: contexts of variable length, kept where they diverge.
 
-A context is a run of 1 to ``depth`` words before a token; it is considered if it was seen
-``MIN_COUNT`` times in training and its suffix was kept. Its next-token distribution is the
+A context is a run of 1 to ``depth`` words before a token; it is considered if it makes up at
+least ``MIN_SHARE`` of the training tokens (and was seen ``MIN_COUNT`` times) and its suffix was
+kept, so the tree stays within 1 / ``MIN_SHARE`` contexts a level whatever the corpus. Its next-token distribution is the
 counts smoothed towards the distribution of its suffix, (n(c, w) + m P(w | suffix)) / (n(c) + m).
 The divergence test sums, over the training tokens after the context, the logarithm of that
 probability, with the token itself taken out of the counts, over the probability the suffix
@@ -21,6 +22,8 @@ and counted row by row; an empty table gives an empty result; other columns are
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -31,7 +34,8 @@ from dayloom.llm import corpus as C
 from dayloom.llm import words as W
 
 DEPTH = 2
-MIN_COUNT = 16
+MIN_COUNT = 8
+MIN_SHARE = 4e-7
 MIN_GAIN = 8.0
 MASSES = np.array([2.0, 16.0, 128.0, 1024.0])
 _END = np.uint64(0x243F6A8885A308D3)
@@ -157,7 +161,7 @@ def _counted(requests: DataFrame) -> DataFrame:
     return requests.groupBy("bucket").applyInArrow(add, C.ANSWER + ", total long, kinds long, singles long")
 
 
-def score(docs: DataFrame, train: Column, depth: int = DEPTH, min_count: int = MIN_COUNT, min_gain: float = MIN_GAIN) -> DataFrame:
+def score(docs: DataFrame, train: Column, depth: int = DEPTH, min_count: int = MIN_COUNT, min_gain: float = MIN_GAIN, min_share: float = MIN_SHARE) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score, mean_depth of every row.
 
     ``train`` says which rows to learn from. ``base_score`` is the smoothed word frequency
@@ -173,6 +177,7 @@ def score(docs: DataFrame, train: Column, depth: int = DEPTH, min_count: int = M
 
     first = C.written(_counted(chunks.each(ask_words, C.REQUEST)), "tokens")
     totals = tuple(int(x or 0) for x in first.agg(F.sum("total"), F.sum("kinds"), F.sum("singles")).first())
+    min_count = max(min_count, math.ceil(min_share * totals[0]))
     known = first.where("chunk is not null").select("chunk", "bucket", "n", F.lit(0).alias("part"))
     for level in range(1, depth + 1):
 
