@@ -106,11 +106,12 @@ def clean_panel(
         *[c for c in facts.columns if c not in carried],
         *[F.last(c, ignorenulls=True).over(run).alias(c) for c in carried],
         F.lead(date).over(own).alias("_next"),
+        gmax.alias("_newest"),  # the scalar is bound once
     )
     days = known.select(
         *facts.columns,
         F.posexplode(
-            F.sequence(F.col(date), _until_next(date, F.col("_next"), extended_stop(date, gmax, alive_days)))
+            F.sequence(F.col(date), _until_next(date, F.col("_next"), extended_stop(date, F.col("_newest"), alive_days)))
         ).alias("_offset", "_day"),
     )
     real = F.col("_offset") == 0

@@ -42,3 +42,18 @@ def test_sorted_output_is_ordered(spark, small):
     rows = registry.queries()["sorted_output"](spark, small).collect()
     prices = [r.o_totalprice for r in rows]
     assert prices == sorted(prices, reverse=True)
+
+
+def test_entry_works_without_the_optional_parts(monkeypatch):
+    """Parts that were taken out are left out; the other queries stay. An error inside a part is raised."""
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    monkeypatch.setitem(sys.modules, "dayloom.llm.queries", None)
+    names = set(registry.queries())
+    assert "risk_return_panel" in names and not any(n.startswith("op") or n == "pipeline" for n in names)
+    assert set(registry.oracle_sql()) <= names
+
+
+def test_risk_return_panel_reads_its_source_few_times(spark, small):
+    for name, most in (("risk_return_panel", 5), ("rolling_origin", 8), ("standardize", 14)):
+        plan = registry.queries()[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("lineitem.parquet") <= most, name
