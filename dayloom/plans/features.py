@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dayloom.functions.dates import non_working_flag
-from dayloom.operators.padding import future_frame
+from dayloom.operators.padding import future_frame, pad_daily
 from dayloom.operators.rolling import lagged_mean, with_pieces
 from dayloom.operators.scaling import standardize
 
@@ -27,6 +27,17 @@ def by_day(regressor: DataFrame, date: str = "ds") -> DataFrame:
     return F.broadcast(regressor.groupBy(date).agg(*[F.max(v).alias(v) for v in values]))
 
 
+def filled_calendar(regressor: DataFrame, ahead: int = 0, date: str = "ds") -> DataFrame:
+    """A daily regressor without gaps: each missing day, and ``ahead`` days after the last, carries the value before.
+
+    One row per day: the window is bounded by the calendar.
+    """
+    one = regressor.withColumn("_one", F.lit(1))
+    padded = pad_daily(one, ["_one"], date, stop=F.date_add(date, ahead))
+    run = Window.partitionBy("_one").orderBy(date).rowsBetween(Window.unboundedPreceding, 0)
+    return padded.select(date, *[F.last(c, ignorenulls=True).over(run).alias(c) for c in regressor.columns if c != date])
+
+
 def join_regressors(df: DataFrame, regressors: Sequence[DataFrame], date: str = "ds") -> DataFrame:
     """Left-join daily regressors by date."""
     out = df

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dayloom.operators.accuracy import accuracy
 from dayloom.operators.splits import time_split
-from dayloom.plans import features, forecast, recipes
+from dayloom.plans import features, forecast, recipes, standins
 from dayloom.plans.catalog import query, rounded
-from dayloom.plans.queries_features import KNOWN_SQL, known_returns
+from dayloom.plans.queries_features import RETURNS_SQL, known_returns, returns
 from dayloom.plans.queries_panel import calendar_rows
 from dayloom.plans.queries_tables import HOLIDAYS, regressors
 from dayloom.plans.standins import CUT, Tables
@@ -17,35 +19,46 @@ from dayloom.session import materialise, shared_path
 
 
 def cut() -> Column:
+    """The day at which queries stand whose regressors must be known ahead."""
     return F.lit(CUT).cast("date")
 
 
+# All other queries stand at the newest day.
+FULL_SQL = RETURNS_SQL + """,
+known AS (SELECT * FROM returns)"""
+LAST = "(SELECT MAX(ds) FROM known)"
+
+
+def at_newest(t: Tables, state: DataFrame) -> DataFrame:
+    return state.where(F.col("ds") == standins.newest_day(t))
+
+
 NAIVE_SQL = (
-    KNOWN_SQL
+    FULL_SQL
     + f""",
 steps AS (SELECT UNNEST(range(1, 29)) AS h),
 naive AS (
-  SELECT k.entity_id, CAST(DATE '{CUT}' + CAST(h AS INTEGER) AS DATE) AS ds, CAST(h AS INTEGER) AS h, k.ret AS yhat
-  FROM steps JOIN known k ON k.ds = CAST(DATE '{CUT}' - 6 + CAST((h - 1) % 7 AS INTEGER) AS DATE)
+  SELECT k.entity_id, CAST({LAST} + CAST(h AS INTEGER) AS DATE) AS ds, CAST(h AS INTEGER) AS h, k.ret AS yhat
+  FROM steps JOIN known k ON k.ds = CAST({LAST} - 6 + CAST((h - 1) % 7 AS INTEGER) AS DATE)
 )"""
 )
 
 
 def _naive(t: Tables) -> DataFrame:
-    state = forecast.forecast_state(known_returns(t), series_rows=calendar_rows(t)).where(F.col("ds") == cut())
-    return forecast.paths(state, models=(forecast.BASELINE,)).select("entity_id", "ds", "h", "yhat")
+    state = at_newest(t, forecast.forecast_state(returns(t), series_rows=calendar_rows(t)))
+    return forecast.paths(state, models=(forecast.BASELINE,))
 
 
 @query("naive_forecast", f"WITH {NAIVE_SQL} SELECT entity_id, ds, h, ROUND(yhat, 9) + 0.0 AS yhat FROM naive")
 def naive_forecast(t: Tables) -> DataFrame:
     """Seasonal-naive forecast, 28 days ahead for every series."""
-    return rounded(_naive(t), "yhat", digits=9)
+    return rounded(_naive(t).select("entity_id", "ds", "h", "yhat"), "yhat", digits=9)
 
 
 @query(
     "accuracy",
     f"""
-WITH {KNOWN_SQL},
+WITH {FULL_SQL},
 pred AS (
   SELECT 'lag_1' AS model, entity_id, CAST(ds + INTERVAL 1 DAY AS DATE) AS ds, ret AS yhat FROM known UNION ALL
   SELECT 'lag_7', entity_id, CAST(ds + INTERVAL 7 DAY AS DATE), ret FROM known)
@@ -56,7 +69,7 @@ FROM known k JOIN pred USING (entity_id, ds) GROUP BY ALL
 )
 def accuracy_query(t: Tables) -> DataFrame:
     """Error measures of two naive models per entity."""
-    known = known_returns(t)
+    known = returns(t)
     lagged = known.select(
         "entity_id",
         F.explode(
@@ -71,28 +84,6 @@ def accuracy_query(t: Tables) -> DataFrame:
     return rounded(rounded(accuracy(tested, ["model", "entity_id"]), "rmse", "mae", digits=9), "rsq")
 
 
-@query(
-    "forecast_fan",
-    f"""
-WITH {NAIVE_SQL},
-rep AS (
-  SELECT entity_id, ds, ret AS value, ret AS lo, ret AS hi, 'actual' AS key FROM known UNION ALL
-  SELECT entity_id, ds, yhat, yhat - 0.0002, yhat + 0.0003, 'prediction' FROM naive)
-SELECT entity_id, ds, key,
-       {", ".join(f"ROUND(CASE WHEN COUNT({c}) OVER w = 30 THEN CAST(product({c} + 1) OVER w AS DOUBLE) ^ (365.0 / 30) - 1 END, 6) + 0.0 AS {n}" for c, n in (('value', 'value'), ('lo', 'conf_lo'), ('hi', 'conf_hi')))}
-FROM rep WINDOW w AS (PARTITION BY entity_id ORDER BY ds ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)
-""",
-)
-def forecast_fan(t: Tables) -> DataFrame:
-    """Thirty-day annualised return over actual values, forecast and bounds."""
-    predicted = _naive(t).select(
-        "entity_id", "ds", F.col("yhat").alias("value"), (F.col("yhat") - 0.0002).alias("conf_lo"), (F.col("yhat") + 0.0003).alias("conf_hi")
-    )
-    reported = forecast.report(known_returns(t).withColumnRenamed("ret", "value"), predicted, "SEASONAL_NAIVE")
-    out = forecast.fan(reported).select("entity_id", "ds", "key", "value", "conf_lo", "conf_hi")
-    return rounded(out, "value", "conf_lo", "conf_hi")
-
-
 _CANDIDATES_SQL = """
   SELECT s.entity_id, s.ds AS cut, CAST(h AS INTEGER) AS h, CAST(s.ds + CAST(h AS INTEGER) AS DATE) AS ds, m.model,
          CASE m.model WHEN 'seasonal_naive' THEN k.ret WHEN 'last' THEN s.last
@@ -103,7 +94,7 @@ _CANDIDATES_SQL = """
   WHERE k.entity_id = s.entity_id AND k.ds = CAST(s.ds - 6 + CAST((h - 1) % 7 AS INTEGER) AS DATE)"""
 _A30 = "(2.0::DOUBLE / 31)"
 STATE_SQL = (
-    KNOWN_SQL
+    FULL_SQL
     + f""",
 steps AS (SELECT UNNEST(range(1, 29)) AS h),
 numbered_returns AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY entity_id ORDER BY ds) AS rn FROM known),
@@ -115,17 +106,40 @@ state AS (
   FROM numbered_returns WINDOW w AS (PARTITION BY entity_id ORDER BY ds)
 ),
 candidates AS ({_CANDIDATES_SQL}
-    AND (DATE '{CUT}' - s.ds) % 28 = 0 AND DATE '{CUT}' - s.ds BETWEEN 0 AND 364
+    AND ({LAST} - s.ds) % 28 = 0 AND {LAST} - s.ds BETWEEN 0 AND 364
 ),
 tested AS (
-  SELECT c.*, CAST((DATE '{CUT}' - cut) / 28 AS INTEGER) AS slice, k.ret AS y
-  FROM candidates c JOIN known k USING (entity_id, ds) WHERE cut < DATE '{CUT}'
+  SELECT c.*, CAST(({LAST} - cut) / 28 AS INTEGER) AS slice, k.ret AS y
+  FROM candidates c JOIN known k USING (entity_id, ds) WHERE cut < {LAST}
 )"""
 )
 
 
-def _backtest(t: Tables, windows: int = forecast.WINDOWS) -> DataFrame:
-    return forecast.backtest(known_returns(t), cut(), windows=windows, series_rows=calendar_rows(t))
+def _backtest(t: Tables, windows: int = forecast.WINDOWS, models: Sequence[str] = forecast.MODELS) -> DataFrame:
+    return forecast.backtest(returns(t), standins.newest_day(t), windows=windows, series_rows=calendar_rows(t), models=models)
+
+
+@query(
+    "forecast_fan",
+    f"""
+WITH {STATE_SQL},
+width AS (SELECT quantile_cont(abs(y - yhat), 0.95) AS width FROM tested WHERE slice = 1 AND model = 'seasonal_naive'),
+rep AS (
+  SELECT entity_id, ds, ret AS value, ret AS lo, ret AS hi, 'actual' AS key FROM known UNION ALL
+  SELECT entity_id, ds, yhat, yhat - width, yhat + width, 'prediction' FROM candidates, width
+  WHERE model = 'seasonal_naive' AND cut = {LAST})
+SELECT entity_id, ds, key,
+       {", ".join(f"ROUND(CASE WHEN COUNT({c}) OVER w = 30 THEN CAST(product({c} + 1) OVER w AS DOUBLE) ^ (365.0 / 30) - 1 END, 6) + 0.0 AS {n}" for c, n in (('value', 'value'), ('lo', 'conf_lo'), ('hi', 'conf_hi')))}
+FROM rep WINDOW w AS (PARTITION BY entity_id ORDER BY ds ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)
+""",
+)
+def forecast_fan(t: Tables) -> DataFrame:
+    """Thirty-day annualised return over actual values, forecast and the bounds of its held-out errors."""
+    held_out = _backtest(t, windows=1, models=(forecast.BASELINE,))
+    predicted = forecast.interval_forecast(_naive(t), held_out).select("entity_id", "ds", F.col("yhat").alias("value"), "conf_lo", "conf_hi")
+    reported = forecast.report(returns(t).withColumnRenamed("ret", "value"), predicted, "SEASONAL_NAIVE")
+    out = forecast.fan(reported).select("entity_id", "ds", "key", "value", "conf_lo", "conf_hi")
+    return rounded(out, "value", "conf_lo", "conf_hi")
 
 
 def _tested(t: Tables) -> DataFrame:
@@ -158,12 +172,12 @@ best AS (SELECT model FROM (SELECT model, sqrt(AVG(pow(y - yhat, 2))) AS r FROM
 spread AS (SELECT h, {", ".join(f"quantile_cont(y - yhat, {p}) AS {q}" for q, p in forecast.LEVELS.items())}
            FROM tested SEMI JOIN best USING (model) GROUP BY h)
 SELECT entity_id, ds, h, model, ROUND(yhat, 9) + 0.0 AS mean, {", ".join(f"ROUND(yhat + {q}, 9) + 0.0 AS {q}" for q in forecast.LEVELS)}
-FROM candidates SEMI JOIN best USING (model) JOIN spread USING (h) WHERE cut = DATE '{CUT}'
+FROM candidates SEMI JOIN best USING (model) JOIN spread USING (h) WHERE cut = {LAST}
 """,
 )
 def quantile_forecast(t: Tables) -> DataFrame:
     """Best candidate 28 days ahead with four quantiles from back-test errors."""
-    out = forecast.quantile_forecast(known_returns(t), cut(), _tested(t), series_rows=calendar_rows(t))
+    out = forecast.quantile_forecast(returns(t), standins.newest_day(t), _tested(t), series_rows=calendar_rows(t))
     return rounded(out, "mean", *forecast.LEVELS, digits=9)
 
 
@@ -173,18 +187,24 @@ def quantile_forecast(t: Tables) -> DataFrame:
 WITH {STATE_SQL},
 width AS (SELECT model, quantile_cont(abs(y - yhat), 0.95) AS width FROM tested WHERE slice = 1 GROUP BY model)
 SELECT entity_id, cut, h, ds, model, ROUND(yhat, 9) + 0.0 AS yhat, ROUND(yhat - width, 9) + 0.0 AS conf_lo, ROUND(yhat + width, 9) + 0.0 AS conf_hi
-FROM candidates JOIN width USING (model) WHERE cut = DATE '{CUT}'
+FROM candidates JOIN width USING (model) WHERE cut = {LAST}
 """,
 )
 def interval_forecast(t: Tables) -> DataFrame:
     """Every candidate 28 days ahead with an interval from held-out errors."""
-    state = forecast.forecast_state(known_returns(t), series_rows=calendar_rows(t)).where(F.col("ds") == cut())
+    state = at_newest(t, forecast.forecast_state(returns(t), series_rows=calendar_rows(t)))
     out = forecast.interval_forecast(forecast.paths(state), _backtest(t, windows=1))
     return rounded(out, "yhat", "conf_lo", "conf_hi", digits=9)
 
 
+def covariate_frame(t: Tables) -> DataFrame:
+    """The quantile frame on regressor calendars without gaps, which reach over the horizon."""
+    filled = {n: r if n == "monthly" else features.filled_calendar(r, forecast.HORIZON) for n, r in regressors(t).items()}
+    return features.quantile_frame(known_returns(t), filled, HOLIDAYS, train_until=F.date_sub(cut(), 28))
+
+
 def quantile_rows(t: Tables) -> DataFrame:
-    frame = features.quantile_frame(known_returns(t), regressors(t), HOLIDAYS, train_until=F.date_sub(cut(), 28))
+    frame = covariate_frame(t)
     rows = forecast.covariate_rows(frame, cut(), forecast.ABLATION["full"], series_rows=calendar_rows(t))
     return materialise(rows, "covariates")
 
@@ -200,10 +220,10 @@ def covariate_forecast(t: Tables) -> DataFrame:
     """Global model with known future covariates, predicted beyond the history."""
     rows = quantile_rows(t)
     model = forecast.fit_covariates(rows, forecast.ABLATION["full"])
-    frame = features.quantile_frame(known_returns(t), regressors(t), HOLIDAYS, train_until=F.date_sub(cut(), 28))
+    frame = covariate_frame(t)
     names = forecast.ABLATION["full"]
     ahead = frame.where("ret IS NULL")
-    features.missing_covariates(ahead, [n for n in names if n != "daily_1"])
+    features.missing_covariates(ahead, names)
     state = forecast.forecast_state(frame.where("ret IS NOT NULL"), series_rows=calendar_rows(t)).where(F.col("ds") == cut())
     steps = state.select("*", F.explode(F.sequence(F.lit(1), F.lit(forecast.HORIZON))).alias("h"))
     cols = forecast.candidate_columns(F.col("h"))
