@@ -98,7 +98,7 @@ STATE_SQL = (
     + f""",
 steps AS (SELECT UNNEST(range(1, 29)) AS h),
 numbered_returns AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY entity_id ORDER BY ds) AS rn FROM known),
-state AS (
+state AS MATERIALIZED (
   SELECT entity_id, ds, ret AS last, FIRST_VALUE(ret) OVER w AS first, rn AS n,
          AVG(ret) OVER (PARTITION BY entity_id ORDER BY ds ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS mean_30,
          CASE WHEN rn >= 30 THEN pow(1 - {_A30}, rn - 30) * SUM(CASE WHEN rn <= 30 THEN ret / 30
@@ -108,7 +108,7 @@ state AS (
 candidates AS ({_CANDIDATES_SQL}
     AND ({LAST} - s.ds) % 28 = 0 AND {LAST} - s.ds BETWEEN 0 AND 364
 ),
-tested AS (
+tested AS MATERIALIZED (
   SELECT c.*, CAST(({LAST} - cut) / 28 AS INTEGER) AS slice, k.ret AS y
   FROM candidates c JOIN known k USING (entity_id, ds) WHERE cut < {LAST}
 )"""
@@ -157,11 +157,25 @@ def backtest_accuracy(t: Tables) -> DataFrame:
     return rounded(out, "rmse", "mae", digits=9)
 
 
-@query("leaderboard")
+@query(
+    "leaderboard",
+    f"""
+WITH {STATE_SQL},
+best AS (SELECT model, sqrt(AVG(pow(y - yhat, 2))) AS rmse FROM tested GROUP BY model ORDER BY rmse, model LIMIT 3),
+weighted AS (SELECT model, (1 / rmse) / (SELECT SUM(1 / rmse) FROM best) AS weight FROM best),
+joint AS (SELECT 'ensemble' AS model, y, SUM(yhat * weight) AS yhat FROM tested JOIN weighted USING (model) GROUP BY entity_id, slice, h, ds, y),
+board AS (
+  SELECT model, sqrt(AVG(pow(y - yhat, 2))) AS rmse, AVG(abs(y - yhat)) AS mae, pow(corr(y, yhat), 2) AS rsq, COUNT(*) AS n
+  FROM (SELECT model, y, yhat FROM tested UNION ALL SELECT model, y, yhat FROM joint) GROUP BY model)
+SELECT model, ROUND(rmse, 9) AS rmse, ROUND(mae, 9) AS mae, ROUND(rsq, 6) AS rsq, n, CAST(DENSE_RANK() OVER (ORDER BY rmse) AS INTEGER) AS rank
+FROM board
+""",
+)
 def leaderboard(t: Tables) -> DataFrame:
     """Thirteen-window back-test of all candidates and their weighted ensemble."""
     tested = _tested(t)
-    return forecast.leaderboard(forecast.with_ensemble(tested, accuracy(tested)))
+    board = forecast.leaderboard(forecast.with_ensemble(tested, accuracy(tested)))
+    return rounded(rounded(board, "rmse", "mae", digits=9), "rsq")
 
 
 @query(
