@@ -29,7 +29,7 @@ LG_K = 10
 #: A line with at least this share of all lines is hot; there are at most 1 / HOT_SHARE of them.
 HOT_SHARE = 1e-4
 _KEY = ["line_a", "line_b"]
-_ROW = ["row_a", "row_b"]
+_ROW = ["__row_a", "__row_b"]
 
 
 def _bare(line: Column) -> Column:
@@ -38,7 +38,7 @@ def _bare(line: Column) -> Column:
 
 def _row_key(docs: DataFrame) -> DataFrame:
     """Equal rows share a key, which is harmless: they lose the same lines."""
-    return docs.withColumn("row_a", F.xxhash64("doc_id", "text")).withColumn("row_b", F.xxhash64("text", F.lit(1), "doc_id"))
+    return docs.withColumn("__row_a", F.xxhash64("doc_id", "text")).withColumn("__row_b", F.xxhash64("text", F.lit(1), "doc_id"))
 
 
 def _lines(docs: DataFrame, *columns: str) -> DataFrame:
@@ -74,15 +74,15 @@ def clean(docs: DataFrame, min_sites: int = MIN_SITES, max_share: float = MAX_SH
     hot = F.broadcast(bad.where(F.col("n") >= floor).select(*_KEY))
     rest = bad.where(F.col("n") < floor).select(*_KEY)
     found = lines.join(hot, _KEY, "left_semi").unionByName(lines.join(hot, _KEY, "left_anti").join(rest, _KEY, "left_semi"))
-    by_row = found.groupBy(*_ROW).agg(F.collect_set("pos").alias("lost"))
+    by_row = found.groupBy(*_ROW).agg(F.collect_set("pos").alias("__lost"))
     parts = F.split("text", "\n")
     filled = F.size(F.filter(parts, lambda x: _bare(x) != ""))
     kept = _row_key(docs.drop("n_lines", "n_removed")).join(by_row, _ROW, "left").drop(*_ROW)
-    n = F.when(F.size("lost") > max_share * filled, 0).otherwise(F.greatest(F.size("lost"), F.lit(0)))
+    n = F.when(F.size("__lost") > max_share * filled, 0).otherwise(F.greatest(F.size("__lost"), F.lit(0)))
     kept = kept.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long"))
-    kept = kept.withColumn("n_removed", F.when(F.col("lost").isNull(), 0).otherwise(n).cast("long"))
-    left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("lost", i)), "\n")
-    return kept.withColumn("text", F.when(F.col("n_removed") > 0, left).otherwise(F.col("text"))).drop("lost")
+    kept = kept.withColumn("n_removed", F.when(F.col("__lost").isNull(), 0).otherwise(n).cast("long"))
+    left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("__lost", i)), "\n")
+    return kept.withColumn("text", F.when(F.col("n_removed") > 0, left).otherwise(F.col("text"))).drop("__lost")
 
 
 SQL = f"""

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from dayloom.llm.corpus import written
 
 _ADDED = ["thread_turn", "depth", "parent_turn", "content", "n_quoted", "n_linked"]
-_ROW = ["row_a", "row_b"]
+_ROW = ["__row_a", "__row_b"]
 _MARKS = r"^[ \t]*((?:>[ \t]*)*)"
 
 
@@ -77,17 +77,17 @@ def _threads(replies: DataFrame) -> DataFrame:
 def threaded(messages: DataFrame) -> DataFrame:
     """Every row with its thread, depth and parent, and ``content`` without quotes in place of ``text``."""
     kept = [c for c in messages.columns if c not in _ADDED]
-    rows = messages.select(*kept).withColumns({"row_a": F.xxhash64("conv_id", "turn", "role", "text"), "row_b": F.xxhash64("text", "role", F.lit(1), "turn", "conv_id")})
+    rows = messages.select(*kept).withColumns({"__row_a": F.xxhash64("conv_id", "turn", "role", "text"), "__row_b": F.xxhash64("text", "role", F.lit(1), "turn", "conv_id")})
     links = written(_linked(rows.select("conv_id", "turn", "text", *_ROW)), "links")
     rows = rows.join(links, _ROW, "left").drop(*_ROW)
     # one parent for a turn, also where rows repeat it with other texts: the earliest
     replies = rows.where("parent_turn is not null").groupBy("conv_id", "turn").agg(F.min("parent_turn").alias("parent"))
     tops = _threads(replies)
     lines = F.split(F.coalesce("text", F.lit("")), "\r?\n")
-    out = rows.join(tops, ["conv_id", "turn"], "left").withColumns(
+    out = rows.join(tops.withColumnsRenamed({"top": "__top", "depth": "__depth"}), ["conv_id", "turn"], "left").withColumns(
         {
-            "thread_turn": F.coalesce("top", "turn"),
-            "depth": F.coalesce("depth", F.lit(0)).cast("int"),
+            "thread_turn": F.coalesce("__top", "turn"),
+            "depth": F.coalesce("__depth", F.lit(0)).cast("int"),
             "content": F.coalesce(unquoted(F.col("text")), F.lit("")),
             "n_quoted": F.size(F.filter(lines, lambda x: (level(x) > 0) & (normalised(x) != ""))).cast("int"),
             "n_linked": F.coalesce("n_linked", F.lit(0)).cast("int"),

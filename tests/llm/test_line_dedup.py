@@ -44,9 +44,9 @@ def test_near_threshold_is_exact(spark):
 
 
 def test_empty_and_clashing_columns(spark):
-    df = spark.createDataFrame([(1, "a\nb", "s", "k")], "doc_id long, text string, source string, n_lines string")
+    df = spark.createDataFrame([(1, "a\nb", "s", "k", 7)], "doc_id long, text string, source string, n_lines string, pos int")
     out = line_dedup.clean(df)
-    assert out.columns == ["doc_id", "text", "source", "n_lines", "n_removed"] and out.first().n_lines == 2
+    assert out.columns == ["doc_id", "text", "source", "pos", "n_lines", "n_removed"] and (out.first().n_lines, out.first().pos) == (2, 7)
     assert line_dedup.clean(df.limit(0)).count() == 0
 
 

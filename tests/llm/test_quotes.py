@@ -64,9 +64,9 @@ def fixture():
 
 def test_equals_plain_walk(spark):
     rows = fixture()
-    df = spark.createDataFrame([(*x, 1) for x in rows], "conv_id long, turn long, role string, text string, depth int").repartition(3)
+    df = spark.createDataFrame([(*x, 1, i) for i, x in enumerate(rows)], "conv_id long, turn long, role string, text string, depth int, top int").repartition(3)
     out = quotes.threaded(df)
-    assert out.columns == ["conv_id", "turn", "role", "thread_turn", "depth", "parent_turn", "content", "n_quoted", "n_linked"]
+    assert out.columns == ["conv_id", "turn", "role", "top", "thread_turn", "depth", "parent_turn", "content", "n_quoted", "n_linked"]
     got = sorted(((x.conv_id, x.turn, x.role, x.thread_turn, x.depth, x.content) for x in out.collect()), key=str)
     # rows of one (conv_id, turn) share its thread: their own row decides only the parent they show
     assert got == brute(rows)
