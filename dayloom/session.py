@@ -42,9 +42,24 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+_given: list[str] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/dayloom-{uuid.uuid4().hex}/{name}"
+    folder = f"{shared_dir(spark).rstrip('/')}/dayloom-{uuid.uuid4().hex}"
+    _given.append(folder)
+    return f"{folder}/{name}"
+
+
+def discard_written(spark: SparkSession) -> int:
+    """Remove what this session wrote to the shared folder, once its results have been used; the number of folders."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    while _given:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_given.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

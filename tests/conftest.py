@@ -8,12 +8,14 @@ import pytest
 ROOT = Path(__file__).resolve().parents[1]
 sys.path.insert(0, str(ROOT))
 
-from dayloom.session import local_session  # noqa: E402
+from dayloom.session import discard_written, local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(8, "dayloom-tests")
+    session = local_session(8, "dayloom-tests")
+    yield session
+    discard_written(session)
 
 
 @pytest.fixture(scope="session")
