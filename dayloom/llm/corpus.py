@@ -100,8 +100,8 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def request(chunk: int, keys: np.ndarray, weights: np.ndarray, buckets: int) -> pa.Table:
-    """Rows of REQUEST for sorted distinct ``keys``; weights are unsigned 32-bit."""
+def request(chunk: int, keys: np.ndarray, weights: np.ndarray, buckets: int, put: Callable[[np.ndarray], bytes] = blob) -> pa.Table:
+    """Rows of REQUEST for sorted distinct ``keys``; weights are unsigned 32-bit; ``put`` writes a bucket's keys."""
     edges = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1))
     used = np.flatnonzero(np.diff(edges))
     w = pack(weights)
@@ -109,7 +109,7 @@ def request(chunk: int, keys: np.ndarray, weights: np.ndarray, buckets: int) ->
         {
             "chunk": pa.array(np.full(len(used), chunk), pa.int64()),
             "bucket": pa.array(used, pa.int32()),
-            "keys": pa.array([blob(keys[edges[u] : edges[u + 1]]) for u in used], pa.binary()),
+            "keys": pa.array([put(keys[edges[u] : edges[u + 1]]) for u in used], pa.binary()),
             "n": pa.array([blob(w[edges[u] : edges[u + 1]]) for u in used], pa.binary()),
         }
     )
@@ -125,20 +125,40 @@ def unpack(raw: bytes, count: int) -> np.ndarray:
     return np.frombuffer(raw, {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}[len(raw) // count]).astype(np.int64) if count else np.zeros(0, np.int64)
 
 
-def _added(rows: pa.Table) -> tuple[list[int], list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as the first one and the steps to the next, in the fewest bytes a step, byte by byte."""
+    steps = np.diff(keys)
+    width = -(-int(steps.max()).bit_length() // 8) if len(steps) else 0
+    planes = steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
+    return blob(keys[:1]) + bytes([width]) + blob(planes)
+
+
+def unpack_keys(raw: bytes) -> np.ndarray:
+    width = raw[8]
+    planes = np.frombuffer(raw, np.uint8, offset=9).reshape(width, -1) if width else np.zeros((0, 0), np.uint8)
+    steps = np.zeros((planes.shape[1], 8), np.uint8)
+    steps[:, :width] = planes.T
+    return np.cumsum(np.concatenate([np.frombuffer(raw, np.uint64, 1), steps.view("<u8").ravel()]), dtype=np.uint64)
+
+
+def plain_keys(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint64)
+
+
+def _added(rows: pa.Table, get: Callable[[bytes], np.ndarray] = plain_keys) -> tuple[list[int], list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
     chunks = rows.column("chunk").to_pylist()
-    keys = [np.frombuffer(k, np.uint64) for k in rows.column("keys").to_pylist()]
+    keys = [get(k) for k in rows.column("keys").to_pylist()]
     ns = [unpack(n, len(k)) for n, k in zip(rows.column("n").to_pylist(), keys, strict=True)]
     flat, n = np.concatenate(keys), np.concatenate(ns)
     uniq, inverse = np.unique(flat, return_inverse=True)
     return chunks, keys, uniq, inverse, np.bincount(inverse, weights=n, minlength=len(uniq)).astype(np.int64)
 
 
-def answer(requests: DataFrame) -> DataFrame:
-    """Each chunk's keys answered, in its own order, with the sum of the weights over all chunks."""
+def answer(requests: DataFrame, get: Callable[[bytes], np.ndarray] = plain_keys) -> DataFrame:
+    """Each chunk's keys (read by ``get``) answered, in its own order, with the sum of the weights over all chunks."""
 
     def add(key, rows):
-        chunks, keys, _, inverse, total = _added(rows)
+        chunks, keys, _, inverse, total = _added(rows, get)
         edges = np.cumsum([0, *map(len, keys)])
         back = total[inverse]
         return pa.table(

@@ -1,8 +1,7 @@
 """Probabilistic suffix tree over words: contexts of variable length, kept where they diverge.
 
-A context is a run of 1 to ``depth`` words before a token; it is considered if it makes up at
-least ``MIN_SHARE`` of the training tokens (and was seen ``MIN_COUNT`` times) and its suffix was
-kept, so the tree stays within 1 / ``MIN_SHARE`` contexts a level whatever the corpus. Its next-token distribution is the
+A context is a run of 1 to ``depth`` words before a token; it is considered if it was seen
+``MIN_COUNT`` times in training, whatever the size of the corpus, and its suffix was kept. Its next-token distribution is the
 counts smoothed towards the distribution of its suffix, (n(c, w) + m P(w | suffix)) / (n(c) + m).
 The divergence test sums, over the training tokens after the context, the logarithm of that
 probability, with the token itself taken out of the counts, over the probability the suffix
@@ -22,8 +21,6 @@ and counted row by row; an empty table gives an empty result; other columns are
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -35,7 +32,6 @@ from dayloom.llm import words as W
 
 DEPTH = 2
 MIN_COUNT = 8
-MIN_SHARE = 4e-7
 MIN_GAIN = 8.0
 MASSES = np.array([2.0, 16.0, 128.0, 1024.0])
 _END = np.uint64(0x243F6A8885A308D3)
@@ -111,7 +107,7 @@ def _gain_request(chunk: int, keys: np.ndarray, gains: np.ndarray, buckets: int)
         {
             "chunk": pa.array(np.full(len(used), chunk), pa.int64()),
             "bucket": pa.array(used, pa.int32()),
-            "keys": pa.array([W.blob(keys[edges[u] : edges[u + 1]]) for u in used], pa.binary()),
+            "keys": pa.array([C.pack_keys(keys[edges[u] : edges[u + 1]]) for u in used], pa.binary()),
             "n": pa.array([W.blob(g[edges[u] : edges[u + 1]]) for u in used], pa.binary()),
         }
     )
@@ -122,7 +118,7 @@ def _tested(requests: DataFrame, min_gain: float) -> DataFrame:
 
     def add(key, rows):
         rows = rows.sort_by("chunk")
-        keys = [np.frombuffer(k, np.uint64) for k in rows.column("keys").to_pylist()]
+        keys = [C.unpack_keys(k) for k in rows.column("keys").to_pylist()]
         gains = np.concatenate([np.frombuffer(g, np.float32).reshape(-1, len(MASSES)) for g in rows.column("n").to_pylist()]).astype(np.float64)
         _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.stack([np.bincount(inverse, weights=gains[:, k]) for k in range(len(MASSES))], axis=1)
@@ -143,7 +139,7 @@ def _counted(requests: DataFrame) -> DataFrame:
     """The answers of ``corpus.answer``, and for each bucket a row with its tokens, kinds and kinds seen once."""
 
     def add(key, rows):
-        chunks, keys, _, inverse, total = C._added(rows)
+        chunks, keys, _, inverse, total = C._added(rows, C.unpack_keys)
         edges = np.cumsum([0, *map(len, keys)])
         back = total[inverse]
         k = len(chunks)
@@ -161,7 +157,7 @@ def _counted(requests: DataFrame) -> DataFrame:
     return requests.groupBy("bucket").applyInArrow(add, C.ANSWER + ", total long, kinds long, singles long")
 
 
-def score(docs: DataFrame, train: Column, depth: int = DEPTH, min_count: int = MIN_COUNT, min_gain: float = MIN_GAIN, min_share: float = MIN_SHARE) -> DataFrame:
+def score(docs: DataFrame, train: Column, depth: int = DEPTH, min_count: int = MIN_COUNT, min_gain: float = MIN_GAIN) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score, mean_depth of every row.
 
     ``train`` says which rows to learn from. ``base_score`` is the smoothed word frequency
@@ -173,24 +169,23 @@ def score(docs: DataFrame, train: Column, depth: int = DEPTH, min_count: int = M
 
     def ask_words(chunk, rows):
         s = _Stream(rows, None, 0, 0, None, buckets)
-        return C.request(chunk, s.keys, np.bincount(s.at, weights=s.train, minlength=len(s.keys)).astype(np.int64), buckets)
+        return C.request(chunk, s.keys, np.bincount(s.at, weights=s.train, minlength=len(s.keys)).astype(np.int64), buckets, C.pack_keys)
 
     first = C.written(_counted(chunks.each(ask_words, C.REQUEST)), "tokens")
     totals = tuple(int(x or 0) for x in first.agg(F.sum("total"), F.sum("kinds"), F.sum("singles")).first())
-    min_count = max(min_count, math.ceil(min_share * totals[0]))
     known = first.where("chunk is not null").select("chunk", "bucket", "n", F.lit(0).alias("part"))
     for level in range(1, depth + 1):
 
         def ask_pairs(chunk, rows, more, level=level):
             s = _Stream(rows, more, level, 2 * level - 2, totals, buckets, min_count)
             n = np.bincount(s.pair_at, weights=s.train[s.reach], minlength=len(s.pair_keys)).astype(np.int64)
-            return C.request(chunk, s.pair_keys, n, buckets)
+            return C.request(chunk, s.pair_keys, n, buckets, C.pack_keys)
 
         def ask_contexts(chunk, rows, more, level=level):
             s = _Stream(rows, more, level, 2 * level - 1, totals, buckets, min_count)
             return _gain_request(chunk, s.context_keys, s.gains(), buckets)
 
-        pairs = C.written(C.answer(chunks.with_answers(known, ask_pairs, C.REQUEST)), f"pairs_{level}")
+        pairs = C.written(C.answer(chunks.with_answers(known, ask_pairs, C.REQUEST), C.unpack_keys), f"pairs_{level}")
         known = known.unionByName(pairs.withColumn("part", F.lit(2 * level - 1)))
         contexts = C.written(_tested(chunks.with_answers(known, ask_contexts, C.REQUEST), min_gain), f"contexts_{level}")
         known = known.unionByName(contexts.withColumn("part", F.lit(2 * level)))

@@ -7,9 +7,11 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from dayloom.llm import corpus as C
 from dayloom.llm import suffix_tree as S
 
 WORD = re.compile(r"[^ \t-\r]+")
@@ -90,3 +92,21 @@ def test_no_training_rows_and_no_rows(spark):
     got = S.score(df, F.lit(False)).collect()
     assert {(g.n_known, g.train_tokens, g.score) for g in got} == {(0, 0, 0.0)}
     assert S.score(df.limit(0), F.lit(True)).count() == 0
+
+
+def test_rare_contexts_count_in_a_large_corpus(spark):
+    """A context seen MIN_COUNT times is kept among 24 million training tokens as well."""
+    frequent = spark.range(24, numPartitions=8).select(F.col("id").alias("doc_id"), F.expr("repeat('a ', 1000000)").alias("text"))
+    rare = spark.createDataFrame([(100 + i, "left right") for i in range(S.MIN_COUNT)], "doc_id long, text string")
+    got = S.score(frequent.unionByName(rare), F.lit(True)).where("doc_id >= 100").collect()
+    assert len(got) == S.MIN_COUNT and all(g.train_tokens > 24_000_000 for g in got)
+    assert {g.mean_depth for g in got} == {2 / 3}  # right after left, the end after right
+
+
+@pytest.mark.parametrize("n", [1, 2, 1000, 200_000])
+def test_packed_keys(n):
+    keys = np.unique(np.random.default_rng(n).integers(0, 2**64, n, np.uint64))
+    for k in (keys, keys[:1], np.array([0, 2**64 - 1], np.uint64), np.arange(n, dtype=np.uint64)):
+        raw = C.pack_keys(k)
+        assert C.unpack_keys(raw).tolist() == k.tolist()
+    assert n < 10_000 or len(C.pack_keys(keys)) < 8 * len(keys)
