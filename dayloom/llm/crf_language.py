@@ -7,8 +7,10 @@ log-likelihood. Labels come from whole documents, so training sequences are made
 several documents of the sample; where a piece ends the language may switch. Prediction runs
 forward-backward over all words of a text and sums the words' posteriors.
 
-The field is fitted on a bounded sample: for each language at most ``DOCS`` documents of at
-most ``DOC_BYTES`` bytes, picked by a hash of doc_id. Every text is predicted whole.
+The field is fitted on a bounded sample: for each language at most ``DOCS`` documents, picked
+by a hash of doc_id; of a document over ``DOC_BYTES`` bytes a piece of a quarter as many characters,
+at a place picked by the hash, is learned. A document's last words train as its last whole piece, and
+one of fewer than ``PIECE`` words as a piece that repeats them. Every text is predicted whole.
 
 A word is a run of letters or of bytes over 0x7F, in lower case.
 
@@ -154,6 +156,14 @@ def _pair_sums(emission: np.ndarray, seq: np.ndarray, width: int, moves: np.ndar
     return token.transpose(1, 0, 2).reshape(-1, langs), pairs
 
 
+def _pieces(lo: int, hi: int) -> list[np.ndarray]:
+    """Tokens lo to hi as pieces of ``PIECE``: the last one ends at hi, and fewer tokens are repeated."""
+    if hi - lo < PIECE:
+        return [lo + np.arange(PIECE) % (hi - lo)] if hi > lo else []
+    starts = [*range(lo, hi - PIECE + 1, PIECE)]
+    return [np.arange(a, a + PIECE) for a in (starts if starts[-1] == hi - PIECE else [*starts, hi - PIECE])]
+
+
 def fit(texts: list[str], labels: list[str]) -> Field:
     """Adaptive gradient steps over shuffled sequences of pieces."""
     langs = sorted(set(labels))
@@ -162,7 +172,7 @@ def fit(texts: list[str], labels: list[str]) -> Field:
     lexicon = plain.hashes[np.bincount(plain.seq, minlength=len(plain.hashes)) >= LEXICON_COUNT]
     words = read_words(column, lexicon)
     truth = np.repeat(np.searchsorted(langs, labels), np.diff(words.first))
-    pieces = [np.arange(a, a + PIECE) for i in range(len(texts)) for a in range(words.first[i], words.first[i + 1] - PIECE + 1, PIECE)]
+    pieces = [p for lo, hi in zip(words.first, words.first[1:], strict=False) for p in _pieces(int(lo), int(hi))]
     field = Field(langs, np.zeros((1 << HASH_BITS, len(langs)), np.float32), np.zeros((len(langs), len(langs))), lexicon)
     if not pieces or len(langs) == 1:
         return field
@@ -205,7 +215,10 @@ def fit(texts: list[str], labels: list[str]) -> Field:
 
 def train(docs: DataFrame, learn: Column, docs_each: int = DOCS) -> Field | None:
     """A field fitted on a sample of the rows where ``learn`` holds; None if there is nothing to learn from."""
-    rows = docs.where(F.coalesce(learn, F.lit(False)) & F.col("lang").isNotNull() & (F.octet_length("text") <= DOC_BYTES)).select("doc_id", "lang", "text")
+    part = DOC_BYTES // 4  # characters, of at most four bytes
+    start = 1 + F.pmod(F.xxhash64("doc_id", F.lit(5)), F.greatest(F.length("text") - part + 1, F.lit(1)).cast("long")).cast("int")
+    text = F.when(F.octet_length("text") <= DOC_BYTES, F.col("text")).otherwise(F.col("text").substr(start, F.lit(part)))
+    rows = docs.where(F.coalesce(learn, F.lit(False)) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", text.alias("text"))
     counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return None

@@ -83,3 +83,25 @@ def test_rows(spark, trained):
     assert by[5][0] == by[5][1] and by[5][0][0] == "cc" and by[6][0][0] == "aa" and by[None][0][0] == "bb"
     assert L.predict(df.limit(0), field).count() == 0
     assert {x.lang_pred for x in L.predict(df, None).collect()} == {"und"}
+
+
+def test_long_and_short_texts_are_learned(spark):
+    """A language of long documents alone and one of texts of few words are learned like any other."""
+    r = random.Random(8)
+    rows = [(i, sentence(r, "aa", 60), "aa") for i in range(60)]
+    rows += [(100 + i, sentence(r, "bb", 3000), "bb") for i in range(8)]
+    rows += [(200 + i, sentence(r, "cc", r.randrange(1, 5)), "cc") for i in range(200)]
+    assert all(len(t.encode()) > L.DOC_BYTES for i, t, _ in rows if 100 <= i < 200)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    field = L.train(df, F.lit(True))
+    assert field.langs == ["aa", "bb", "cc"]
+    asked = [(i, sentence(r, lang, 20), lang) for i, lang in enumerate(["aa", "bb", "cc"] * 20)]
+    got = {x.doc_id: x.lang_pred for x in L.predict(spark.createDataFrame(asked, df.schema), field).collect()}
+    assert np.mean([got[i] == lang for i, _, lang in asked]) > 0.95
+
+
+def test_pieces_cover_all_tokens():
+    for n in range(0, 40):
+        pieces = L._pieces(5, 5 + n)
+        assert all(len(p) == L.PIECE for p in pieces)
+        assert sorted({int(x) for p in pieces for x in p}) == list(range(5, 5 + n))
