@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayloom.llm import bpe, cotraining, crf_language, decontamination, jaccard_join, line_dedup, multi_index, quotes, recompression, suffix_tree
+from dayloom.llm import bpe, cotraining, crf_language, decontamination, jaccard_join, line_dedup, multi_index, quotes, recompression, suffix_tree, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,11 +16,15 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def word_bpe_path() -> str:
-    """The vocabulary file of the public tokenizer package."""
+def vocabulary_path(name: str) -> str:
+    """A vocabulary file of the public tokenizer package."""
     import public_tokenizers
 
-    return f"file://{public_tokenizers.path('word_bpe_49k.json')}"
+    return f"file://{public_tokenizers.path(name)}"
+
+
+def word_bpe_path() -> str:
+    return vocabulary_path("word_bpe_49k.json")
 
 
 def op8_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
@@ -69,6 +73,10 @@ def op9_quotation_linking(spark: SparkSession, folder: str) -> DataFrame:
     return quotes.threaded(read(spark, folder, "conversations"))
 
 
+def op13_repair_files(spark: SparkSession, folder: str) -> DataFrame:
+    return token_files.digests(read(spark, folder, "documents"), vocabulary_path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_suffix_tree": op2_suffix_tree,
@@ -80,5 +88,6 @@ QUERIES: dict[str, Query] = {
     "op8_bpe_codec": op8_bpe_codec,
     "op9_quotation_linking": op9_quotation_linking,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op13_repair_files": op13_repair_files,
 }
 SQL: dict[str, str] = {"op1_line_dedup": line_dedup.SQL}
