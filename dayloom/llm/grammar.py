@@ -17,7 +17,7 @@ import numpy as np
 #: A pair gets a rule if it is seen so often in the shard.
 LEAST = 4
 #: Rules added in one round, and the share of a sequence that a round must save for another one to follow.
-ROUND_RULES, ROUND_SAVES = 4096, 0.08
+ROUND_RULES, ROUND_SAVES = 4096, 0.01
 #: Slots of the table that tells which pairs are replaced; of two pairs on one slot the rarer waits for a later round.
 SLOT_BITS = 18
 MAGIC = b"DLRP\x01"

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayloom.llm import bpe, cotraining, crf_language, decontamination, jaccard_join, line_dedup, multi_index, quotes, recompression, suffix_tree, token_files
+from dayloom.llm import bpe, cotraining, crf_language, decontamination, jaccard_join, lexical_search, line_dedup, multi_index, quotes, recompression, spelling, suffix_tree, token_files
+from dayloom.llm.corpus import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,6 +74,21 @@ def op9_quotation_linking(spark: SparkSession, folder: str) -> DataFrame:
     return quotes.threaded(read(spark, folder, "conversations"))
 
 
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of letters, of which some lose a letter chosen by a checksum; a null id counts as empty text."""
+    runs = spelling.runs(read(spark, folder, "documents"))
+    run, length = F.col("run"), F.length("run")
+    h = F.crc32(F.concat(F.coalesce("doc_id", F.lit("")), F.lit(":"), run))
+    at = (h % length).cast("int")
+    word = F.when(h % 31 == 0, F.concat(F.substring(run, F.lit(1), at), F.substring(run, at + 2, length))).otherwise(run)
+    words = written(spelling.counted(runs.select(word.alias("word"))), "words")
+    return spelling.groups(words)
+
+
+def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.search(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
 def op13_repair_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.digests(read(spark, folder, "documents"), vocabulary_path("byte_bpe_50k.json"))
 
@@ -88,6 +104,8 @@ QUERIES: dict[str, Query] = {
     "op8_bpe_codec": op8_bpe_codec,
     "op9_quotation_linking": op9_quotation_linking,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_lexical_search": op12_lexical_search,
     "op13_repair_files": op13_repair_files,
 }
-SQL: dict[str, str] = {"op1_line_dedup": line_dedup.SQL}
+SQL: dict[str, str] = {"op1_line_dedup": line_dedup.SQL, "op12_lexical_search": lexical_search.SQL}

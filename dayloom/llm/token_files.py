@@ -16,7 +16,7 @@ no documents; other columns are not used, whatever their names.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -29,26 +29,15 @@ from pyspark.sql import types as T
 from dayloom.llm import byte_bpe
 from dayloom.llm.bpe import _source
 from dayloom.llm.grammar import Grammar
-from dayloom.llm.words import blob
+from dayloom.llm.words import blob, steps
 from dayloom.session import shared_path
 
 SHARD_IDS = 1 << 20
-#: Text bytes encoded at once.
-STEP_BYTES = 4 << 20
 END_ID = 0
 #: Partitions whose shards are added up together in the first of two steps.
 INDEX_BLOCK = 512
 
 
-def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        size = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
-        cuts = np.unique(np.append(np.flatnonzero(np.diff(size // STEP_BYTES)) + 1, b.num_rows))
-        for lo, hi in zip([0, *cuts[:-1]], cuts, strict=True):
-            if hi > lo:
-                yield b.slice(lo, hi - lo)
-
-
 def write(docs: DataFrame, vocabulary: str, out: str, column: str = "text", id_column: str = "doc_id") -> None:
     spark = docs.sparkSession
     source = _source(docs, vocabulary)
@@ -78,7 +67,7 @@ def write(docs: DataFrame, vocabulary: str, out: str, column: str = "text", id_c
             arrays = [pa.ListArray.from_arrays([0, len(v)], v) if isinstance(v, pa.Array) else pa.array([v], names_now.type if n in ("least", "most") else None) for (n, _), v in zip(fields, row, strict=True)]
             return pa.RecordBatch.from_arrays(arrays, names=[n for n, _ in fields])
 
-        for b in _steps(batches):
+        for b in steps(batches):
             flat, n = coder.encode(b.column("text"))
             flat, n = np.insert(flat, np.cumsum(n), END_ID), n + 1
             ends, lo = np.cumsum(n), 0

@@ -7,6 +7,7 @@ finished by a mixing step. ``table(seed)`` gives independent hash functions.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -66,6 +67,16 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
+def steps(batches: Iterator[pa.RecordBatch], column: str = "text", step_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``step_bytes`` of text; a longer text comes alone or last."""
+    for b in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+        cuts = np.unique(np.append(np.flatnonzero(np.diff(size // step_bytes)) + 1, b.num_rows))
+        for lo, hi in zip([0, *cuts[:-1]], cuts, strict=True):
+            if hi > lo:
+                yield b.slice(lo, hi - lo)
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
