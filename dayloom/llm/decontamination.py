@@ -3,23 +3,25 @@
 The CGK embedding walks over a window of words: each step writes the word under the pointer
 and moves on or not, by a random bit of that word and step. Windows at a small edit distance
 give walks that agree at most steps, so keys made of the words at a few sampled steps collide
-often; ``REPEATS`` independent walks are used, which finds windows at the largest allowed
-distance with a probability of over 0.95 (tests measure it) and equal windows always. Items are taken
-in ranges of lengths within a fifth of each other; the keys of windows as long as the shortest
-item of a range are looked up among the keys of its items' beginnings; each candidate is then
-verified by its exact edit distance to the whole item.
+often; ``REPEATS`` independent walks are used. Walks of strings that are far apart drift from
+each other (with the square of the edits), so long items are looked up by pieces of ``PIECE``
+words: of the edits that an item may hold, few fall into one of its pieces, and any piece that is
+met leads to the whole item. Each candidate is verified by the exact edit distance of the
+whole item to the text around it. Equal passages are found always, those at the largest allowed distance with a
+probability of over 0.95, whatever the length of the item and the kind of edits (tests measure both).
 
 Windows that cannot match are not walked: d edits of an item of m words leave at least
-m - 1 - 2 d of its word pairs, so a window with fewer pairs known to the benchmark is passed
+m - 1 - 2 d of its word pairs, so a stretch with fewer pairs known to the benchmark is passed
 over. A word is a run of letters, digits or bytes over 0x7F, with A-Z in lower case. An item
-of m words matches up to m // 4 edits (none under 12 words); items under ``MIN_WORDS`` words
-are too short to tell a leak and are not searched.
+of m words matches up to m // 4 edits (none under 12 words). An item under ``MIN_WORDS`` words
+is too short to tell a leak inside a text: it is found where a whole text equals it.
 
 The benchmark is broadcast in slices of at most ``SLICE_WORDS`` words, one pass for each.
 
 Defined cases: null or blank texts and items match nothing; every row is judged alone, so
 repeated rows and equal doc_ids give repeated results; texts are read whole; an empty table
-gives an empty result; a clean text keeps its row and all its columns.
+gives an empty result; a clean text keeps its row and all its columns. Of hits of an item that overlap
+the nearest is kept.
 """
 
 from __future__ import annotations
@@ -34,8 +36,9 @@ from pyspark.sql import types as T
 
 from dayloom.llm import words as W
 
-REPEATS = 20
+REPEATS = 16
 SAMPLES = 3
+PIECE = 10
 MIN_WORDS = 5
 SLICE_WORDS = 1 << 20
 PIECE_BYTES = 4 << 20
@@ -86,36 +89,72 @@ def walks(words: np.ndarray) -> list[np.ndarray]:
     return [W.mix(words ^ W.mix(np.full(1, 77 + k, np.uint64))) for k in range(REPEATS * 4)]
 
 
+def _offsets(m: int) -> np.ndarray:
+    """Where an item's pieces begin: enough of them to cover it."""
+    return np.linspace(0, m - PIECE, -(-m // PIECE)).round().astype(np.int64)
+
+
+class Table:
+    """Keys of windows of one size, in each of the repeats, with the item and the offset they stand for."""
+
+    def __init__(self, bits: list[np.ndarray], words: np.ndarray, start: np.ndarray, size: int, repeats: int, item: np.ndarray, offset: np.ndarray):
+        self.size, self.item, self.offset, self.keys = size, item, offset, []
+        sizes = np.full(len(start), size)
+        for r in range(repeats):
+            k = keys(bits, words, start, sizes, sizes, r)
+            order = np.argsort(k, kind="stable")
+            self.keys.append((k[order], order))
+
+    def met(self, bits: list[np.ndarray], words: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, entry) of every key that a window shares with an entry in some repeat."""
+        found, sizes = [np.zeros((2, 0), np.int64)], np.full(len(start), self.size)
+        for r, (k, order) in enumerate(self.keys):
+            mine = keys(bits, words, start, sizes, length, r)
+            lo, hi = np.searchsorted(k, mine, "left"), np.searchsorted(k, mine, "right")
+            some = np.flatnonzero(hi > lo)
+            reps = (hi - lo)[some]
+            slot = np.repeat(lo[some], reps) + np.arange(int(reps.sum())) - np.repeat(np.cumsum(reps) - reps, reps)
+            found.append(np.stack([np.repeat(some, reps), order[slot]]))
+        window, entry = np.unique(np.concatenate(found, axis=1), axis=1)
+        return window, entry
+
+
 class Items:
     """A slice of the benchmark, ready for lookups."""
 
     def __init__(self, ids: list[int], texts: list[str | None]):
         h, first = normalised(pa.array(texts, pa.string()))
         size = np.diff(first)
-        use = np.flatnonzero(size >= MIN_WORDS)
+        use = np.flatnonzero(size > 0)
         self.ids = [ids[i] for i in use]
         self.words = [h[first[i] : first[i + 1]] for i in use]
-        self.size = size[use]
-        pairs = [_pairs(w) for w in self.words]
-        self.own_pairs = pairs
-        self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.uint64)
+        self.size, start = size[use], first[:-1][use]
+        searched = [(i, _pairs(w)) for i, w in enumerate(self.words) if len(w) >= MIN_WORDS]
+        none = np.zeros(0, np.uint64)
+        self.pairs = np.unique(np.concatenate([none, *(p for _, p in searched)]))
+        self.pairs_of = np.unique(np.concatenate([none, *(p ^ W.mix(np.full(1, i + 1, np.uint64)) for i, p in searched)]))
         self.sieve = np.zeros(1 << 22, bool)
         self.sieve[self.pairs & np.uint64((1 << 22) - 1)] = True
-        lengths = np.unique(self.size)
-        # ranges of lengths within a fifth of each other
-        self.ranges = [lengths[np.floor(np.log(lengths) / np.log(1.2)) == r] for r in np.unique(np.floor(np.log(lengths) / np.log(1.2)))]
-        self.low = low = np.array([next(int(r[0]) for r in self.ranges if m in r) for m in self.size], np.int64)
-        by_size = np.argsort(low, kind="stable")
+        self.whole: dict[bytes, list[int]] = {}
+        for i in np.flatnonzero(self.size < MIN_WORDS):
+            self.whole.setdefault(W.blob(self.words[i]), []).append(int(i))
         bits = walks(h)
+        edited = np.flatnonzero(self.size >= 12)
+        # ranges of lengths within a fifth of each other share a sieve
+        lengths = np.unique(self.size[edited])
+        rung = np.floor(np.log(lengths) / np.log(1.2))
+        self.ranges = [lengths[rung == r] for r in np.unique(rung)]
+        offsets = [_offsets(int(self.size[i])) for i in edited]
         self.tables = []
-        for r in range(REPEATS if len(use) else 0):
-            k = np.empty(len(use), np.uint64)
-            k[by_size] = keys(bits, h, first[:-1][use][by_size], low[by_size], low[by_size], r)
-            order = np.argsort(k, kind="stable")
-            self.tables.append((k[order], order))
-
-    def windows(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, start, size) of the windows with enough pairs of the benchmark for some length of a range; sizes ascend."""
+        if len(edited):
+            item, offset = np.repeat(edited, [len(o) for o in offsets]), np.concatenate(offsets)
+            self.tables.append(Table(bits, h, start[item] + offset, PIECE, REPEATS, item, offset))
+        for m in range(MIN_WORDS, 12):  # no edits: equal windows have equal keys in any repeat
+            if len(equal := np.flatnonzero(self.size == m)):
+                self.tables.append(Table(bits, h, start[equal], m, 1, equal, np.zeros(len(equal), np.int64)))
+
+    def windows(self, words: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+        """For each table the starts of windows among enough pairs of the benchmark."""
         n = len(words)
         pairs = _pairs(words)
         known = self.sieve[pairs & np.uint64((1 << 22) - 1)]
@@ -126,95 +165,122 @@ class Items:
         np.cumsum(known, out=total[1:n])
         total[n] = total[n - 1]
         row_end = np.repeat(first[1:], np.diff(first))
-        found = []
+        out = []
+        for table in self.tables:
+            if table.size >= 12 or table.size == PIECE and len(table.keys) > 1:
+                out.append(self._near(total, row_end))
+            else:
+                here = np.flatnonzero(row_end - np.arange(n) >= table.size)
+                out.append(here[total[here + table.size - 1] - total[here] == table.size - 1])
+        return out
+
+    def _near(self, total: np.ndarray, row_end: np.ndarray) -> np.ndarray:
+        """Starts of piece windows inside stretches that hold what an item of some length needs."""
+        n = len(row_end)
+        cover = np.zeros(n + 1, np.int64)
         for lengths in self.ranges:
             # first what any length of the range needs, at every word; then each length where that holds
             low, high = int(lengths[0]), int(lengths[-1])
             least, wide = min(int(m) - 1 - 2 * allowed(int(m)) for m in lengths), high + allowed(high)
+            short = min(int(m) - allowed(int(m)) for m in lengths)
             ahead = np.full(n, total[n], np.int32)
             ahead[: max(0, n - wide + 1)] = total[wide - 1 : n] if n >= wide else 0
             some = np.flatnonzero(ahead - total[:n] >= least)
-            some = some[row_end[some] - some >= low - allowed(low)]
-            good = np.zeros(n, bool)
+            some = some[row_end[some] - some >= short]
             for m in lengths.tolist():
                 d = allowed(m)
-                # a window can be taken to start at a word that takes part in a match, with up to d words more than the item
+                # a stretch can be taken to start at a word that takes part in a match, with up to d words more than the item
                 here = some[row_end[some] - some >= m - d]
                 stop = np.minimum(row_end[here], here + m + d)
-                good[here[total[stop - 1] - total[here] >= m - 1 - 2 * d]] = True
-            here = np.flatnonzero(good)
-            found.append(np.stack([here, np.full(len(here), low)]))
-        start, size = np.concatenate(found, axis=1)
-        return np.searchsorted(first, start, "right") - 1, start, size
+                here, stop = (x[total[stop - 1] - total[here] >= m - 1 - 2 * d] for x in (here, stop))
+                np.add.at(cover, np.maximum(here - d, 0), 1)
+                np.add.at(cover, stop, -1)
+        here = np.flatnonzero(np.cumsum(cover)[:-1] > 0)
+        # a piece with few edits keeps word pairs of its own
+        stop = np.minimum(row_end[here], here + PIECE + allowed(12))
+        return here[total[np.maximum(stop - 1, here)] - total[here] >= PIECE - 1 - 2 * allowed(12)]
 
     def hits(self, words: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(row, item index, first word, end, distance), words counted in the row; overlapping hits of an item keep the nearest."""
-        if not self.tables or len(words) < 2:
-            return []
-        row, start, size = self.windows(words, first)
-        if not len(start):
-            return []
+        out = []
+        if self.whole:
+            for row in np.flatnonzero((np.diff(first) > 0) & (np.diff(first) < MIN_WORDS)).tolist():
+                found = self.whole.get(W.blob(words[first[row] : first[row + 1]]), ())
+                out += [(row, i, 0, int(first[row + 1] - first[row]), 0) for i in found]
+        if self.tables and len(words) >= 2:
+            for table, start in zip(self.tables, self.windows(words, first), strict=True):
+                if len(start):
+                    out += self._met(table, words, first, start)
+        return out
+
+    def _met(self, table: Table, words: np.ndarray, first: np.ndarray, start: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        row = np.searchsorted(first, start, "right") - 1
         # only the words that windows touch are given random bits
         touched = np.zeros(len(words) + 1, np.int64)
-        end = np.minimum(start + size, first[row + 1])
+        end = np.minimum(start + table.size, first[row + 1])
         np.add.at(touched, start, 1)
         np.add.at(touched, end, -1)
         use = np.cumsum(touched)[:-1] > 0
-        place = np.cumsum(use) - 1
         near = words[use]
-        bits = walks(near)
-        local, length = place[start], end - start
-        found = []
-        for r, (k, order) in enumerate(self.tables):
-            mine = keys(bits, near, local, size, length, r)
-            lo, hi = np.searchsorted(k, mine, "left"), np.searchsorted(k, mine, "right")
-            some = np.flatnonzero(hi > lo)
-            reps = (hi - lo)[some]
-            which = np.repeat(some, reps)
-            slot = np.repeat(lo[some], reps) + np.arange(int(reps.sum())) - np.repeat(np.cumsum(reps) - reps, reps)
-            item = order[slot]
-            right = self.low[item] == size[which]
-            found.append(np.stack([row[which[right]], item[right], start[which[right]]]))
-        cand = np.unique(np.concatenate(found, axis=1), axis=1)
+        window, entry = table.met(walks(near), near, (np.cumsum(use) - 1)[start], end - start)
+        # where the whole item may stand, joined where such stretches of a row and item overlap
+        item, row = table.item[entry], row[window]
+        slack = np.where(self.size[item] >= 12, self.size[item] // 4, 0)
+        begin = np.maximum(start[window] - table.offset[entry] - slack, first[row])
+        stop = np.minimum(start[window] - table.offset[entry] + self.size[item] + slack, first[row + 1])
+        order = np.lexsort((begin, item, row))
+        row, item, begin, stop = (x[order] for x in (row, item, begin, stop))
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (begin[1:] > stop[:-1])  # of one item, stops ascend with starts
+        lead = np.flatnonzero(new)
+        row, item, begin = row[lead], item[lead], begin[lead]
+        stop = stop[np.append(lead[1:], len(stop))[: len(lead)] - 1]
+        # the item's own pairs in the stretch, before the costly distance
+        count = np.maximum(stop - begin - 1, 0)
+        of = np.repeat(np.arange(len(lead)), count)
+        at = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + begin[of]
+        own = self._own(_pairs(words)[at], item[of])
+        held = np.bincount(of, weights=own, minlength=len(lead))
+        size = self.size[item]
+        bound = np.where(size >= 12, size // 4, 0)
+        good = (held >= size - 1 - 2 * bound) & (stop - begin >= size - bound)
         out = []
-        group = np.flatnonzero(np.any(np.diff(cand[:2], axis=1), axis=0)) + 1
-        for lo, hi in zip([0, *group], [*group, cand.shape[1]], strict=True):
-            if lo == hi:
-                continue
-            i, item = int(cand[0, lo]), int(cand[1, lo])
-            out += self._verified(i, item, words, int(first[i]), int(first[i + 1]), cand[2, lo:hi])
+        for r, i, a, z in zip(row[good].tolist(), item[good].tolist(), begin[good].tolist(), stop[good].tolist(), strict=True):
+            base = int(first[r])
+            out += [(r, i, x - base, y - base, d) for x, y, d in self._verified(i, words, a, z)]
         return out
 
-    def _verified(self, row: int, item: int, words: np.ndarray, begin: int, end: int, starts: np.ndarray) -> list:
+    def _own(self, pairs: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Whether each pair is one of its item's."""
+        key = pairs ^ W.mix(item.astype(np.uint64) + np.uint64(1))
+        return self.pairs_of[np.minimum(np.searchsorted(self.pairs_of, key), len(self.pairs_of) - 1)] == key
+
+    def _verified(self, item: int, words: np.ndarray, a: int, z: int) -> list[tuple[int, int, int]]:
+        """(first word, end, distance) of matches of the whole item in words a..z, nearest first, none overlapping."""
         w = self.words[item]
-        d = allowed(len(w))
-        found = []
-        # the item's own pairs in each window, before the costly distance
-        last = min(end, int(starts.max()) + len(w) + d)
-        own = np.concatenate([[0], np.cumsum(np.isin(_pairs(words[starts[0] : last]), self.own_pairs[item]))])
-        stop = np.minimum(starts + len(w) + d, last) - starts[0]
-        starts = starts[own[np.maximum(stop - 1, 0)] - own[starts - starts[0]] >= len(w) - 1 - 2 * d]
-        for s in starts.tolist():
-            if any(x[0] == 0 and x[1] <= s < x[2] for x in found):
-                continue
-            text = words[s : min(end, s + len(w) + d)]
-            if len(text) >= len(w) and (text[: len(w)] == w).all():
-                found.append((0, s, s + len(w)))
-                continue
-            dist = np.arange(len(text) + 1)
-            ramp = dist.copy()
-            for j, x in enumerate(w, 1):
-                step = np.concatenate([[j], np.minimum(dist[:-1] + (text != x), dist[1:] + 1)])
-                dist = np.minimum.accumulate(step - ramp) + ramp
-                if dist.min() > d:
-                    break
-            if dist.min() <= d:
-                found.append((int(dist.min()), s, s + int(dist.argmin())))
-        kept: list = []
-        for x in sorted(found):
-            if all(x[2] <= y[1] or x[1] >= y[2] for y in kept):
-                kept.append(x)
-        return [(row, item, s - begin, e - begin, dist) for dist, s, e in sorted(kept, key=lambda x: x[1])]
+        d, text = allowed(len(w)), words[a:z]
+        if len(text) < len(w) - d:
+            return []
+        to = _ends(w, text, d)
+        if to is None or to.min() > d:
+            return []
+        stop, dist = int(to.argmin()), int(to.min())
+        back = _ends(w[::-1], text[:stop][::-1], d, anchored=True)
+        begin = stop - int(np.flatnonzero(back == dist)[0])
+        left, right = (self._verified(item, words, x, y) for x, y in ((a, a + begin), (a + stop, z)))
+        return sorted([*left, (a + begin, a + stop, dist), *right])
+
+
+def _ends(w: np.ndarray, text: np.ndarray, d: int, anchored: bool = False) -> np.ndarray | None:
+    """Least edit distance of ``w`` to a part of the text that ends at each place (begins at the front, if anchored); None if all exceed ``d``."""
+    ramp = np.arange(len(text) + 1)
+    dist = ramp.copy() if anchored else np.zeros(len(text) + 1, np.int64)
+    for j, x in enumerate(w, 1):
+        step = np.concatenate([[j], np.minimum(dist[:-1] + (text != x), dist[1:] + 1)])
+        dist = np.minimum.accumulate(step - ramp) + ramp
+        if dist.min() > d:
+            return None
+    return dist
 
 
 @lru_cache(maxsize=1)
