@@ -43,6 +43,16 @@ def test_near_threshold_is_exact(spark):
     assert all(got[2000 + i].text == "copied page\nwhole" for i in range(9))
 
 
+def test_boilerplate_goes_wherever_it_stands(spark):
+    """Short pages lose header and footer however few lines are their own; texts of boilerplate alone become blank."""
+    rows = [(i, f"head\nown {i}\nfoot", f"s{i}") for i in range(6)] + [(10, "head\n\nfoot", "s1"), (11, "head", "s2"), (12, "head", None)]
+    rows += [(20 + i, "copied\nown 0\npage", f"s{i}") for i in range(30)]
+    got, want = both(spark, rows)
+    assert got == want
+    texts = {g[0]: g[3] for g in got}
+    assert texts[3] == "own 3" and texts[10] == "" and texts[11] == texts[12] == "" and texts[25] == "copied\nown 0\npage"
+
+
 def test_empty_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a\nb", "s", "k", 7)], "doc_id long, text string, source string, n_lines string, pos int")
     out = line_dedup.clean(df)
@@ -54,5 +64,5 @@ def test_empty_and_clashing_columns(spark):
 def test_coarse_sketches_change_nothing(spark, lg_k):
     rows = [(i * 10 + j, f"l{i}\nown {i} {j}", f"s{j}") for i in range(40) for j in range(3 + i % 5)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    bad = line_dedup.boilerplate(df, 5, lg_k).count()
+    bad = line_dedup.boilerplate(df, 5, lg_k)[0].count()
     assert bad == sum(3 + i % 5 >= 5 for i in range(40))
