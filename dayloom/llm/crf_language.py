@@ -213,6 +213,12 @@ def fit(texts: list[str], labels: list[str]) -> Field:
     return field
 
 
+def sample_bound(n: int, docs_each: int) -> int:
+    """The greatest 63-bit hash that is sampled so that about ``docs_each`` of ``n`` rows are, at most all."""
+    top = (1 << 63) - 1
+    return top if n <= docs_each else top * 95 * docs_each // (100 * n)
+
+
 def train(docs: DataFrame, learn: Column, docs_each: int = DOCS) -> Field | None:
     """A field fitted on a sample of the rows where ``learn`` holds; None if there is nothing to learn from."""
     part = DOC_BYTES // 4  # characters, of at most four bytes
@@ -222,9 +228,9 @@ def train(docs: DataFrame, learn: Column, docs_each: int = DOCS) -> Field | None
     counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return None
-    place = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_003))
-    bound = F.coalesce(*[F.when(F.col("lang") == k, int(1_000_003 * min(1.0, 0.95 * docs_each / n)) if n > docs_each else 1_000_003) for k, n in counts.items()])
-    sample = sorted((r.lang, r.doc_id or 0, r.text) for r in rows.where(place < bound).toLocalIterator())  # bounded, see above
+    place = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(3)), 1)  # 63 bits: a share of any size is more than nothing
+    bound = F.coalesce(*[F.when(F.col("lang") == k, F.lit(sample_bound(n, docs_each))) for k, n in counts.items()])
+    sample = sorted((r.lang, r.doc_id or 0, r.text) for r in rows.where(place <= bound).toLocalIterator())  # bounded, see above
     return fit([s[2] for s in sample], [s[0] for s in sample])
 
 

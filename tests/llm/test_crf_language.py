@@ -105,3 +105,16 @@ def test_pieces_cover_all_tokens():
         pieces = L._pieces(5, 5 + n)
         assert all(len(p) == L.PIECE for p in pieces)
         assert sorted({int(x) for p in pieces for x in p}) == list(range(5, 5 + n))
+
+
+@pytest.mark.parametrize("n", [10, 500, 501, 10**6, 475 * 10**6, 10**12])
+def test_sample_of_any_number_of_documents(n):
+    """The share of hashes below the bound gives about 500 documents, never none."""
+    share = L.sample_bound(n, 500) / ((1 << 63) - 1)
+    assert share == 1 if n <= 500 else 0.94 * 500 <= share * n <= 0.96 * 500
+
+
+def test_ties_go_to_the_first_language_and_repeats_are_alike(spark):
+    docs = spark.createDataFrame([(i, "aaa bbb", k) for i, k in enumerate(["yy", "xx"] * 6)], "doc_id long, text string, lang string")
+    got = L.predict(docs, L.train(docs, F.lit(True))).collect()
+    assert len(got) == 12 and len({r.lang_pred for r in got}) == 1 and {r.lang_pred for r in got} <= {"xx", "yy"}
