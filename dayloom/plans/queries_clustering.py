@@ -13,6 +13,10 @@ from dayloom.plans.standins import Tables
 from dayloom.session import materialise
 
 
+#: Best swaps tried after the rounds of the Euclidean medoids.
+SWAPS = 20
+
+
 def _series(t: Tables) -> DataFrame:
     """Series of the two years that facts are loaded for by default; every alignment of their days is allowed."""
     recent = series_rows(t).where(F.col("ds") > F.add_months(standins.newest_day(t), -24))
@@ -40,13 +44,13 @@ def _vectors(t: Tables) -> DataFrame:
 @query("pam_cluster")
 def pam_cluster(t: Tables) -> DataFrame:
     """Five medoid clusters of vectors under the Euclidean distance."""
-    return clustering.cluster_series(_vectors(t), 5, distance="euclidean")
+    return clustering.cluster_series(_vectors(t), 5, distance="euclidean", swaps=SWAPS)
 
 
 @query("pam_silhouette")
 def pam_silhouette(t: Tables) -> DataFrame:
-    """Silhouette and Davies-Bouldin indices for three to nine medoid clusters."""
-    return clustering.scan_k(_vectors(t), distance="euclidean")
+    """Five validity indices for three to nine medoid clusters."""
+    return clustering.scan_k(_vectors(t), distance="euclidean", swaps=SWAPS)
 
 
 def _points(t: Tables, components: int) -> DataFrame:
@@ -62,7 +66,7 @@ def embed_pca(t: Tables) -> DataFrame:
 @query("embed_cluster")
 def embed_cluster(t: Tables) -> DataFrame:
     """Five medoid clusters on a five-dimensional embedding."""
-    return clustering.cluster_series(_points(t, 5), 5, values="point", distance="euclidean")
+    return clustering.cluster_series(_points(t, 5), 5, values="point", distance="euclidean", swaps=SWAPS)
 
 
 @query("consensus_cluster")
