@@ -1,14 +1,16 @@
 """Quality classifier by co-training of two views: the text's content, and the page's metadata.
 
-Each view has its own logistic regression. In every round both score a pool of unlabelled
-documents; what one view is confident about becomes a pseudo-label (of less weight) for the
+Each view has its own logistic regression. In every round both score all unlabelled
+documents; what one view is most confident about becomes pseudo-labels (of less weight) for the
 other. Labelled documents kept apart from training calibrate the views: a regression on both
 log-odds gives the final score, which weighs a view by what it is worth. A document is good
 if it is labelled of quality 1 and not toxic.
 
-Models are fitted on bounded samples, chosen by hash: ``LABELLED`` labelled documents, of
-which every fourth only calibrates, and a pool of ``POOL`` documents. All documents are scored, by
-built-in functions and Spark's models inside the JVM.
+Models are fitted on ``LABELLED`` labelled documents at most, chosen by hash, of which every fourth
+only calibrates, and in each round on the ``PSEUDO`` most confident of all unlabelled documents,
+dealt to both kinds as among the labelled ones; beyond three digits of confidence a hash decides, so that
+copies of one page do not fill them. The vocabulary is what most documents of the whole table hold. All
+documents are scored, by built-in functions and Spark's models inside the JVM.
 
 Defined cases: a text that is null or has no word scores 0 and is not kept; null metadata is a
 value of its own; labels without a document, or with a null, are ignored, several labels of
@@ -19,9 +21,9 @@ columns are kept, and columns named score, text_score, meta_score or keep are re
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import CountVectorizer, FeatureHasher, VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, FeatureHasher, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,11 +31,11 @@ from pyspark.sql import functions as F
 from dayloom.llm.corpus import written
 
 LABELLED = 10_000
-POOL = 5_000
+PSEUDO = 5_000
 ROUNDS = 2
 CONFIDENT = 0.97
 PSEUDO_WEIGHT = 0.3
-VOCABULARY = 1 << 14
+VOCABULARY, MIN_DOCS = 1 << 14, 4
 THRESHOLD = 0.5
 _TEXT, _META = ["counts", "style"], ["meta"]
 _ADDED = ["score", "text_score", "meta_score", "keep"]
@@ -70,14 +72,17 @@ def features(docs: DataFrame) -> DataFrame:
 _STYLE = ["_style_upper", "_style_mark", "_style_kinds", "_style_length", "_style_blank"]
 
 
-def _views() -> tuple[Pipeline, Pipeline]:
-    text = Pipeline(
-        stages=[
-            CountVectorizer(inputCol="_words", outputCol="counts", vocabSize=VOCABULARY, minDF=4, binary=True),
-            VectorAssembler(inputCols=["counts", *_STYLE], outputCol="_text_features", handleInvalid="keep"),
-        ]
-    )
-    meta = Pipeline(stages=[FeatureHasher(inputCols=["_source", "_lang", "_size", "_both"], outputCol="_meta_features", numFeatures=2048)])
+def vocabulary(rows: DataFrame, size: int = VOCABULARY, least: int = MIN_DOCS) -> list[str]:
+    """The ``size`` words held by most of the rows (ties in the order of words); at least ``least`` rows hold each."""
+    held = rows.select(F.explode(F.array_distinct("_words")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    return [r.w for r in held.where(F.col("n") >= least).orderBy(F.desc("n"), "w").limit(size).collect()]
+
+
+def _views(words: list[str]) -> tuple[PipelineModel, PipelineModel]:
+    """Features of both views; the words are fixed, the hashes of metadata need no fit."""
+    counts = CountVectorizerModel.from_vocabulary(words or ["\0"], inputCol="_words", outputCol="counts").setBinary(True)
+    text = PipelineModel([counts, VectorAssembler(inputCols=["counts", *_STYLE], outputCol="_text_features", handleInvalid="keep")])
+    meta = PipelineModel([FeatureHasher(inputCols=["_source", "_lang", "_size", "_both"], outputCol="_meta_features", numFeatures=2048)])
     return text, meta
 
 
@@ -98,7 +103,24 @@ def _log_odds(view: str) -> Column:
 def _sample(df: DataFrame, bound: int, seed: int) -> DataFrame:
     """About ``bound`` rows at most, the same ones for the same doc_ids."""
     n = df.count()
-    return df if n <= bound else df.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_003)) < int(1_000_003 * bound / n * 0.97))
+    place = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 1)  # 63 bits
+    return df if n <= bound else df.where(place <= ((1 << 63) - 1) * 97 * bound // (100 * n))
+
+
+def pseudo_labels(scored: DataFrame, p: Column, shares: dict[float, float], bound: int = PSEUDO) -> DataFrame:
+    """Rows of ``scored`` with ``good`` set and less weight: of each kind its share of ``bound`` rows, the most confident ones.
+
+    Only the confidence and hash of the last row taken reach the driver.
+    """
+    out = []
+    for good, sure in ((1.0, p), (0.0, 1 - p)):
+        rows = scored.withColumns({"_sure": F.round(sure, 3), "_tie": F.xxhash64("doc_id", F.lit(11))}).where(sure >= CONFIDENT)
+        taken = rows.select("_sure", "_tie").orderBy(F.desc("_sure"), "_tie").limit(max(1, int(bound * shares.get(good, 0.0))))
+        last = taken.agg(F.min(F.struct("_sure", (-F.col("_tie").cast("decimal(20,0)")).alias("_tie"))).alias("x")).first().x
+        if last is not None:
+            inside = (F.col("_sure") > last[0]) | ((F.col("_sure") == last[0]) & (F.col("_tie") <= int(-last[1])))
+            out.append(rows.where(inside).withColumns({"good": F.lit(good), "weight": F.lit(PSEUDO_WEIGHT)}).drop("_sure", "_tie"))
+    return out[0].unionByName(out[1]) if len(out) == 2 else out[0] if out else scored.limit(0)
 
 
 class QualityModel:
@@ -127,36 +149,33 @@ class QualityModel:
         return df.withColumns(made).withColumn("keep", F.col("score") >= threshold).select(*kept, *_ADDED)
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS) -> QualityModel:
+def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pseudo: int = PSEUDO, rounds: int = ROUNDS) -> QualityModel:
     good = ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("double")
     known = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(F.min(good).alias("good"))
-    view = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    view = features(docs.select("doc_id", "text", "lang", "source", "n_chars")).drop("text")
     some = F.broadcast(_sample(known, labelled, 1))  # bounded by ``labelled`` rows
-    rows = written(
-        features(view.join(some, "doc_id")).drop("text").withColumns({"weight": F.lit(1.0), "calibrates": F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(4)) == 0})
-        .unionByName(features(_sample(view, pool, 2).join(some, "doc_id", "left_anti")).drop("text").withColumns({"good": F.lit(None).cast("double"), "weight": F.lit(0.0), "calibrates": F.lit(False)})),
-        "sample",
-    )
-    kinds = {r[0]: r[1] for r in rows.where("good is not null").groupBy("good", "calibrates").count().groupBy("good").agg(F.collect_set("calibrates")).collect()}
-    text, meta = _views()
+    told_rows = view.join(some, "doc_id").select("good", (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(4)) == 0).alias("calibrates"))
+    counts = {(r.good, r.calibrates): r["count"] for r in told_rows.groupBy("good", "calibrates").count().collect()}
+    kinds = {g: {c for h, c in counts if h == g} for g, _ in counts}
     if len(kinds) < 2:
         return QualityModel(None, None, None, None, (0.0, 0.0, 0.0), only=next(iter(kinds), 1.0))
-    tasks = max(1, int(rows.sparkSession.sparkContext.defaultParallelism))
-    rows = rows.coalesce(tasks)
-    text_model, meta_model = text.fit(rows.where("not calibrates")), meta.fit(rows)
-    rows = written(meta_model.transform(text_model.transform(rows)).select("doc_id", "good", "weight", "calibrates", "_text_features", "_meta_features"), "views").coalesce(tasks)
-    seed = rows.where("good is not null and not calibrates")
+    shares = {g: sum(n for (h, _), n in counts.items() if h == g) / sum(counts.values()) for g in kinds}
+    tasks = max(1, int(docs.sparkSession.sparkContext.defaultParallelism))
+    text_model, meta_model = _views(vocabulary(view))
+    made = meta_model.transform(text_model.transform(view.join(some, "doc_id", "left")))
+    made = made.withColumns({"weight": F.lit(1.0), "calibrates": F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(4)) == 0})
+    rows = written(made.select("doc_id", "good", "weight", "calibrates", "_text_features", "_meta_features"), "views")
+    labelled_rows, others = written(rows.where("good is not null"), "labelled").coalesce(tasks), rows.where("good is null")
+    seed = labelled_rows.where("not calibrates")
     told = {"text": seed, "meta": seed}
     models = {v: _fit(told[v], v) for v in told}
     for step in range(rounds):
         for mine, other in (("text", "meta"), ("meta", "text")):
-            p = vector_to_array(f"_{mine}_probability")[1]
-            sure = models[mine].transform(rows.where("good is null")).where((p >= CONFIDENT) | (p <= 1 - CONFIDENT))
-            pseudo = sure.withColumns({"good": (p >= 0.5).cast("double"), "weight": F.lit(PSEUDO_WEIGHT)}).select(*rows.columns)
-            told[other] = written(seed.unionByName(pseudo), f"told_{other}_{step}").coalesce(tasks)
+            sure = pseudo_labels(models[mine].transform(others), vector_to_array(f"_{mine}_probability")[1], shares, pseudo)
+            told[other] = written(seed.unionByName(sure.select(*rows.columns)), f"told_{other}_{step}").coalesce(tasks)
         models = {v: _fit(told[v], v) for v in told}
     both = all(len(v) == 2 for v in kinds.values())  # either kind is among the calibrating rows too
-    judge = rows.where("calibrates" if both else "good is not null")
+    judge = labelled_rows.where("calibrates" if both else "true")
     judge = models["meta"].transform(models["text"].transform(judge)).select("good", _log_odds("text").alias("lt"), _log_odds("meta").alias("lm"))
     joined = VectorAssembler(inputCols=["lt", "lm"], outputCol="features").transform(judge)
     fitted = LogisticRegression(labelCol="good", maxIter=60, regParam=1e-4).fit(joined)

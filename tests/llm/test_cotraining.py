@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from dayloom.llm import cotraining as Q
 
@@ -39,7 +40,7 @@ def fitted(spark):
     truth = {i: q == 1 and t == 0 for i, q, t in labels}
     known = [x for x in labels if x[0] % 2] + [(None, 1, 0), (3, None, 0), (999_999, 1, 0)]
     df = spark.createDataFrame(docs, SCHEMA)
-    return df, truth, Q.train(df, spark.createDataFrame(known, LABELS), labelled=1000, pool=600)
+    return df, truth, Q.train(df, spark.createDataFrame(known, LABELS), labelled=1000, pseudo=600)
 
 
 def test_held_out_accuracy(fitted):
@@ -69,3 +70,71 @@ def test_one_kind_or_no_labels(spark):
     bad = spark.createDataFrame([(i, 0, 0) for i in range(9)], LABELS)
     assert not any(r.keep for r in Q.classify(df, bad).collect())
     assert all(r.keep for r in Q.classify(df, bad.limit(0)).collect())
+
+
+def test_vocabulary_counts_documents_of_the_whole_table(spark):
+    df = Q.features(spark.createDataFrame([(i, f"all{' odd odd' if i % 2 else ''} one{i}" + (" four" if i < 4 else ""), "en", "s", 9) for i in range(20)], SCHEMA))
+    assert Q.vocabulary(df, 10) == ["all", "odd", "four"] and Q.vocabulary(df, 2) == ["all", "odd"]
+
+
+@pytest.mark.parametrize("bound", [10, 100, 4000])
+def test_most_confident_rows_of_each_kind(spark, bound):
+    r = random.Random(3)
+    rows = [(i, r.choice([0.0, 0.9999, 0.99991, 0.98, 0.02, 0.5, r.random()])) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, p double").withColumns({"good": F.lit(None).cast("double"), "weight": F.lit(1.0)})
+    shares = {1.0: 0.75, 0.0: 0.25}
+    got = {(x.doc_id, x.good) for x in Q.pseudo_labels(df, F.col("p"), shares, bound).collect()}
+    tie = {x.doc_id: x.h for x in df.select("doc_id", F.xxhash64("doc_id", F.lit(11)).alias("h")).collect()}
+    want = set()
+    for good in (1.0, 0.0):
+        sure = sorted((-round(p if good else 1 - p, 3), tie[i], i) for i, p in rows if (p if good else 1 - p) >= Q.CONFIDENT)
+        want |= {(i, good) for *_, i in sure[: max(1, int(bound * shares[good]))]}
+    assert got == want
+
+
+def test_rounds_equal_a_plain_loop(spark):
+    """The same rounds with pseudo-labels chosen by sorting in Python give the same scores."""
+    docs, labels = make(5, 400)
+    df = spark.createDataFrame(docs, SCHEMA)
+    known = spark.createDataFrame([x for x in labels if x[0] % 2], LABELS)
+    model = Q.train(df, known, pseudo=60)
+    view = Q.features(df)
+    text, meta = Q._views(Q.vocabulary(view))
+    tie, part = F.xxhash64("doc_id", F.lit(11)).alias("tie"), (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(4)) == 0).alias("part")
+    rows = meta.transform(text.transform(view)).select("doc_id", "_text_features", "_meta_features", tie, part).collect()
+    truth = {i: float(q == 1 and t == 0) for i, q, t in labels if i % 2}
+    schema = "doc_id long, good double, weight double"
+    base = meta.transform(text.transform(view)).select("doc_id", "_text_features", "_meta_features")
+    seed = [(x.doc_id, truth[x.doc_id], 1.0) for x in rows if x.doc_id in truth and not x.part]
+    share = sum(truth.values()) / len(truth)
+
+    def fit(told, which):
+        return Q._fit(base.join(spark.createDataFrame(told, schema), "doc_id").coalesce(1), which)
+
+    fits = {v: fit(seed, v) for v in ("text", "meta")}
+    for _ in range(Q.ROUNDS):
+        told = {}
+        for mine, other in (("text", "meta"), ("meta", "text")):
+            p = {x.doc_id: x[f"_{mine}_probability"][1] for x in fits[mine].transform(base).collect()}
+            more = []
+            for good, part_of in ((1.0, share), (0.0, 1 - share)):
+                sure = sorted((-round(p[x.doc_id] if good else 1 - p[x.doc_id], 3), x.tie, x.doc_id) for x in rows if x.doc_id not in truth and (p[x.doc_id] if good else 1 - p[x.doc_id]) >= Q.CONFIDENT)
+                more += [(i, good, Q.PSEUDO_WEIGHT) for *_, i in sure[: max(1, int(60 * part_of))]]
+            told[other] = seed + more
+        fits = {v: fit(told[v], v) for v in told}
+    got = {x.doc_id: (x.text_score, x.meta_score) for x in model.score(df).collect()}
+    both = {v: {x.doc_id: x[f"_{v}_probability"][1] for x in fits[v].transform(base).collect()} for v in fits}
+    for i, (a, b) in got.items():
+        assert a == pytest.approx(both["text"][i], abs=1e-3) and b == pytest.approx(both["meta"][i], abs=1e-3)
+
+
+def test_repeated_rows_and_several_labels(spark):
+    docs, labels = make(6, 200)
+    df = spark.createDataFrame(docs + docs[:20], SCHEMA)
+    several = spark.createDataFrame(labels + [(i, 0, 1) for i, _, _ in labels[:20]], LABELS)
+    assert Q.train(df, several, pseudo=40).only is None
+    got = Q.classify(df, several).collect()
+    assert len(got) == 220
+    scores = {}
+    for x in got:
+        assert scores.setdefault(x.doc_id, x.score) == x.score
