@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SWEEPS = 400
+SWEEPS = 100
 #: Columns whose variance is below this share of their size are constant.
 FLAT = 1e-12
 
@@ -97,7 +97,7 @@ def _chosen(sums: Sums, columns: Sequence[str], train: np.ndarray) -> np.ndarray
     return out
 
 
-def elastic_net(corr: np.ndarray, with_y: np.ndarray, penalties: np.ndarray, sweeps: int = SWEEPS, tolerance: float = 1e-10) -> np.ndarray:
+def elastic_net(corr: np.ndarray, with_y: np.ndarray, penalties: np.ndarray, sweeps: int = SWEEPS, tolerance: float = 1e-8) -> np.ndarray:
     """Weights (problems, penalties, columns) minimising w'Cw/2 - r'w + l (a |w|_1 + (1 - a) |w|^2 / 2).
 
     ``corr`` (problems, columns, columns) and ``with_y`` (problems, columns) are of scaled columns;
