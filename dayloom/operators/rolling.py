@@ -29,6 +29,9 @@ _SAFE_EXPONENT = 600.0
 # Running sums of large and of small moves are kept apart, so that one jump does
 # not swallow the digits of the quiet days after it.
 _LARGE_MOVE = 0.01
+# A small move is a whole number of 2**-_UNIT, below 2**47; halves of _HALF bits keep the sums of squares
+# of 80,000 rows (two centuries of days) inside 64 bits. Longer sums raise an error rather than wrap.
+_UNIT, _HALF = 53, 23
 
 
 @dataclass
@@ -161,22 +164,29 @@ def volatility(
         r = F.coalesce(x - 1, F.lit(0.0))
         large = F.abs(r) >= _LARGE_MOVE
         small = F.when(large, 0.0).otherwise(r)
-        gap, s, q, sl, ql, jump, change = (f"_{tag}_{k}" for k in ("gap", "s", "q", "sl", "ql", "jump", "change"))
-        p = Pieces(state=[s, q, sl, ql], lags=list(periods))
+        gap, s, high, mixed, low, sl, ql, jump, change = (f"_{tag}_{k}" for k in ("gap", "s", "high", "mixed", "low", "sl", "ql", "jump", "change"))
+        p = Pieces(state=[s, high, mixed, low, sl, ql], lags=list(periods))
         p.first[f"_{tag}_same"] = F.lag(value).over(w).eqNullSafe(F.col(value))
         p.running[gap] = F.max(F.when(x.isNull(), F.col(POS))).over(run)
         p.running[change] = F.max(F.when(~F.col(f"_{tag}_same"), F.col(POS))).over(run)
         p.running[jump] = F.max(F.when(large, F.col(POS))).over(run)
         # Small moves are summed exactly, so that quiet frames lose no digits after busy ones;
-        # sums of large moves count only in frames that hold one.
-        p.running[s] = F.sum(small.cast("decimal(38,24)")).over(run)
-        p.running[q] = F.sum((small * small).cast("decimal(38,32)")).over(run)
+        # sums of large moves count only in frames that hold one. A value near 1 is a multiple of
+        # 2**-53, so a small move is a whole number of them; its square is summed in three parts.
+        units = (small * 2.0**_UNIT).cast("long")
+        whole = F.shiftright(F.abs(units), _HALF)
+        rest = F.abs(units) - F.shiftleft(whole, _HALF)
+        p.running[s] = F.sum(units).over(run)
+        p.running[high] = F.sum(whole * whole).over(run)
+        p.running[mixed] = F.sum(whole * rest).over(run)
+        p.running[low] = F.sum(rest * rest).over(run)
         p.running[sl] = F.sum(F.when(large, r).otherwise(0.0)).over(run)
         p.running[ql] = F.sum(F.when(large, r * r).otherwise(0.0)).over(run)
         for period in periods:
             calm = _clear(jump, period)
-            total = _since(s, period).cast("double") + F.when(calm, 0.0).otherwise(_since(sl, period))
-            squares = _since(q, period).cast("double") + F.when(calm, 0.0).otherwise(_since(ql, period))
+            total = _since(s, period) * 2.0**-_UNIT + F.when(calm, 0.0).otherwise(_since(sl, period))
+            exact = _since(high, period) * 2.0 ** (2 * _HALF - 2 * _UNIT) + _since(mixed, period) * 2.0 ** (_HALF + 1 - 2 * _UNIT) + _since(low, period) * 2.0 ** (-2 * _UNIT)
+            squares = exact + F.when(calm, 0.0).otherwise(_since(ql, period))
             var = F.greatest((squares - total * total / period) / (period - 1), F.lit(0.0))
             flat = F.col(POS) - F.coalesce(F.col(change), F.lit(1)) >= period - 1
             p.out[f"{prefix}_{period}"] = F.when(

@@ -151,6 +151,8 @@ def candidates(
                 best, ets, theta = run(x, first - base, days[days >= 0], horizon, grid)
                 for c, cut in enumerate(end - back[days >= 0]):
                     ok = best[:, c] >= 0
+                    if not ok.any():
+                        continue
                     for model, paths in (("ets", ets), ("theta", theta)):
                         spec = [grid.label(i) if model == "ets" else "" for i in best[ok, c]]
                         yield b.loc[ok, list(keys)].assign(_cut=int(cut), model=model, spec=spec, _path=list(paths[ok, c]))

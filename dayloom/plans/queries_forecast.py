@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dayloom.operators import pinball, smoothing, stacking
 from dayloom.operators.accuracy import accuracy
 from dayloom.operators.splits import time_split
 from dayloom.plans import features, forecast, recipes, standins
@@ -178,6 +179,59 @@ def leaderboard(t: Tables) -> DataFrame:
     return rounded(rounded(board, "rmse", "mae", digits=9), "rsq")
 
 
+_PAIRS = [(a, b) for i, a in enumerate([*forecast.MODELS, "y"]) for b in [*forecast.MODELS, "y"][i:]]
+
+
+@query(
+    "stacking_products",
+    f"""
+WITH {STATE_SQL},
+wide AS (SELECT entity_id, slice, h, MAX(y) AS y, {", ".join(f"MAX(yhat) FILTER (WHERE model = '{m}') AS {m}" for m in forecast.MODELS)}
+         FROM tested GROUP BY entity_id, slice, h),
+whole AS MATERIALIZED (SELECT * FROM wide WHERE {" AND ".join(f"{m} IS NOT NULL" for m in [*forecast.MODELS, "y"])})
+{" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, ROUND(1e6 * SUM({a} * {b}), 6) + 0.0 AS s FROM whole" for a, b in _PAIRS)}
+""",
+)
+def stacking_products(t: Tables) -> DataFrame:
+    """Sums of products (times a million) of every two candidates' held-out predictions, and of each with the truth."""
+    sums = stacking.products(_tested(t), ["entity_id", "slice", "h"], forecast.MODELS)
+    return rounded(sums.withColumn("s", F.col("s") * 1e6), "s")
+
+
+def _all_tested(t: Tables) -> DataFrame:
+    """Held-out predictions of the window candidates, error-trend-season smoothing and Theta over all slices."""
+    history = returns(t)
+    cuts = [forecast.HORIZON * k for k in range(1, forecast.WINDOWS + 1)]
+    made = smoothing.candidates(history, cuts, forecast.HORIZON)
+    actual = history.select("entity_id", "ds", F.col("ret").alias("y"))
+    slices = (F.datediff(standins.newest_day(t), F.col("cut")) / forecast.HORIZON).cast("int")
+    more = made.withColumn("slice", slices).join(actual, ["entity_id", "ds"])
+    plain = _backtest(t)
+    return materialise(plain.unionByName(more.select(*plain.columns)), "tested")
+
+
+@query("stacked_leaderboard")
+def stacked_leaderboard(t: Tables) -> DataFrame:
+    """Back-test of all candidates, per-series smoothing and Theta among them, and their stack.
+
+    Weights are non-negative least squares over the older twelve slices; the board is of the newest slice, which they have not seen.
+    """
+    tested = _all_tested(t)
+    models = (*forecast.MODELS, "ets", "theta")
+    keys = ["entity_id", "slice", "h"]
+    chosen = stacking.weights(tested.where("slice > 1"), keys, models)
+    newest = tested.where("slice = 1")
+    board = forecast.leaderboard(newest.unionByName(stacking.stacked(newest, keys, chosen)))
+    shares = t.spark.createDataFrame(list(chosen.items()), "model string, weight double")
+    return board.join(F.broadcast(shares), "model", "left")
+
+
+@query("smoothing_forecast")
+def smoothing_forecast(t: Tables) -> DataFrame:
+    """Smoothing and Theta 28 days ahead of the newest day, with the parameters each series chose."""
+    return smoothing.candidates(returns(t), [0], forecast.HORIZON)
+
+
 @query(
     "quantile_forecast",
     f"""
@@ -232,8 +286,12 @@ def covariate_ablation(t: Tables) -> DataFrame:
 @query("covariate_forecast")
 def covariate_forecast(t: Tables) -> DataFrame:
     """Global model with known future covariates, predicted beyond the history."""
-    rows = quantile_rows(t)
-    model = forecast.fit_covariates(rows, forecast.ABLATION["full"])
+    model = forecast.fit_covariates(quantile_rows(t), forecast.ABLATION["full"])
+    return model.transform(_covariates_ahead(t)).select("entity_id", "ds", "h", "yhat")
+
+
+def _covariates_ahead(t: Tables) -> DataFrame:
+    """State features and known covariates of the days beyond the history."""
     frame = covariate_frame(t)
     names = forecast.ABLATION["full"]
     ahead = frame.where("ret IS NULL")
@@ -242,8 +300,35 @@ def covariate_forecast(t: Tables) -> DataFrame:
     steps = state.select("*", F.explode(F.sequence(F.lit(1), F.lit(forecast.HORIZON))).alias("h"))
     cols = forecast.candidate_columns(F.col("h"))
     flat = steps.select("entity_id", "h", F.date_add("ds", F.col("h")).alias("ds"), *[cols[c].alias(c) for c in forecast.STATE_FEATURES])
-    known = flat.join(ahead.select("entity_id", "ds", *names), ["entity_id", "ds"])
-    return model.transform(known).select("entity_id", "ds", "h", "yhat")
+    return flat.join(ahead.select("entity_id", "ds", *names), ["entity_id", "ds"])
+
+
+QUANTILES = {"q05": 0.05, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q95": 0.95}
+
+
+def _quantile_columns() -> list[str]:
+    return ["h", *forecast.STATE_FEATURES, *forecast.ABLATION["full"]]
+
+
+@query("quantile_coverage")
+def quantile_coverage(t: Tables) -> DataFrame:
+    """Shares of held-out values below, and at most at, each fitted quantile: fitted on the older slices with known covariates, judged on the newest."""
+    rows = quantile_rows(t)
+    model = pinball.fit(rows.where("slice > 1"), _quantile_columns(), "y", list(QUANTILES.values()))
+    held = model.predict(rows.where("slice = 1 and y is not null"), list(QUANTILES))
+    # most days repeat the value of the day before, so many returns are 0: a level in that mass lies between the two shares
+    y = F.round("y", 6)
+    below = {q: F.avg((y < F.round(q, 6)).cast("double")) for q in QUANTILES}
+    at_most = {q: F.avg((y <= F.round(q, 6)).cast("double")) for q in QUANTILES}
+    rows = F.array(*[F.struct(F.lit(q).alias("level"), F.lit(v).alias("wanted"), below[q].alias("below"), at_most[q].alias("at_most"), F.count(F.lit(1)).alias("n")) for q, v in QUANTILES.items()])
+    return held.agg(rows.alias("rows")).select(F.explode("rows").alias("p")).select("p.*")
+
+
+@query("quantile_regression")
+def quantile_regression(t: Tables) -> DataFrame:
+    """Five fitted quantiles of every series 28 days ahead, with covariates known ahead; levels never cross."""
+    model = pinball.fit(quantile_rows(t), _quantile_columns(), "y", list(QUANTILES.values()))
+    return model.predict(_covariates_ahead(t), list(QUANTILES)).select("entity_id", "ds", "h", *QUANTILES)
 
 
 def recipe_rows(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
