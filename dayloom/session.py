@@ -52,13 +52,36 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{folder}/{name}"
 
 
-def discard_written(spark: SparkSession) -> int:
-    """Remove what this session wrote to the shared folder, once its results have been used; the number of folders."""
+_tables: list[str] = []
+
+
+def remember_table(name: str) -> None:
+    """A catalog table whose files lie in the shared folder; it goes with them."""
+    _tables.append(name)
+
+
+def written_so_far() -> tuple[int, int]:
+    """A mark for ``discard_written``: what is written later can be removed alone."""
+    return len(_given), len(_tables)
+
+
+def discard_written(spark: SparkSession, since: tuple[int, int] = (0, 0), keep: Sequence[str] = ()) -> int:
+    """Remove what this session wrote to the shared folder since a mark, once its results have been used; the number of folders.
+
+    Folders that hold one of the paths in ``keep`` stay.
+    """
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    gone = 0
-    while _given:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_given.pop())
-        gone += bool(path.getFileSystem(conf).delete(path, True))
+    for name in _tables[since[1] :]:
+        spark.sql(f"DROP TABLE IF EXISTS `{name}`")
+    del _tables[since[1] :]
+    gone, stay = 0, []
+    for folder in _given[since[0] :]:
+        if any(k.startswith(f"{folder}/") for k in keep):
+            stay.append(folder)
+        else:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            gone += bool(path.getFileSystem(conf).delete(path, True))
+    _given[since[0] :] = stay
     return gone
 
 
