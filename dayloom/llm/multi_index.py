@@ -15,7 +15,8 @@ block of the index in one group. Each group gives k rows a query at most, which
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part,
 nor do those of another length than the most common one; a null id takes no part; the
 candidates of a query are all rows with another id; ties go to the smaller id; equal vectors
-are all ranked; rows of one id are one candidate (the nearest); other columns are ignored.
+are all ranked; rows of one id are one candidate (the nearest); vectors of any size, from the smallest
+double to the largest, are compared by direction; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 BITS, PARTS = 64, 4
 #: Rows the codes and the radius are learned from, and rows a block.
-SAMPLE, INDEX_ROWS, QUERY_ROWS = 16_000, 32_768, 512
+SAMPLE, INDEX_ROWS, QUERY_ROWS = 16_000, 32_768, 8_192
 REACH = 0.985
 _POP = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
 
@@ -38,7 +39,9 @@ _POP = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
 def _matrix(column, dim: int) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    # a power of two takes the largest component near 1: no square under- or overflows, and no digit changes
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0.0))[1][:, None])
 
 
 class Coder:
@@ -151,10 +154,12 @@ def nearest(
         return spark.createDataFrame([], schema)
     dim, n, q = sizes
     usable = usable.where(F.size("v") == dim)
-    picked = usable if n <= sample else usable.where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < int(1_000_003 * sample / n))
+    picked = usable if n <= sample else usable.where(F.shiftrightunsigned(F.xxhash64("id"), 1) < ((1 << 63) - 1) * sample // n)
     held = spark.sparkContext.broadcast(Coder(_matrix(picked.limit(2 * sample).toArrow().column("v"), dim), k))  # about ``sample`` rows
 
-    index_blocks, query_blocks = math.ceil(n / index_rows), max(1, math.ceil(q / query_rows))
+    # the index is copied once for each block of queries: few large ones, but enough groups for all cores
+    index_blocks = math.ceil(n / index_rows)
+    query_blocks = max(1, math.ceil(q / query_rows), min(math.ceil(q / 64), math.ceil(spark.sparkContext.defaultParallelism / index_blocks)))
     deal = lambda blocks, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(blocks)).cast("int")
     # each row goes to the groups of its own block and of every block of the other side
     rows = usable.select("id", "v", deal(index_blocks, 1).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("a"))

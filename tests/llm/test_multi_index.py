@@ -61,3 +61,10 @@ def test_odd_rows(spark):
     assert got == [(0, 1, 1, 1.0), (0, 2, 50, 0.707107), (0, 3, 2, 0.0), (50, 1, 0, 0.707107), (50, 2, 1, 0.707107), (50, 3, 2, 0.707107)]
     assert M.nearest(df.limit(0)).count() == 0
     assert M.nearest(df.where("vec_id = 1")).count() == 0
+
+
+def test_very_small_and_very_large_vectors(spark):
+    rows = [(0, [1e-200, 1e-200]), (1, [3e200, 3e200]), (2, [1e308, -1e308]), (3, [5e-324, 0.0]), (50, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in M.nearest(df).collect())
+    assert got == [(0, 1, 1, 1.0), (0, 2, 50, 1.0), (0, 3, 3, 0.707106781), (0, 4, 2, 0.0), (50, 1, 0, 1.0), (50, 2, 1, 1.0), (50, 3, 3, 0.707106781), (50, 4, 2, 0.0)]
