@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dayloom.llm.words import blob
-from dayloom.session import shared_path
+from dayloom.session import remember_table, shared_path
 
 CHUNK_BYTES = 8 << 20
 KEYS_A_BUCKET = 1 << 20
@@ -83,6 +83,7 @@ def cut(docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "text"), chunk_by
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cut_up = docs.mapInArrow(chunks, schema)
     cut_up.write.bucketBy(parts, "chunk").option("path", path).option("compression", "zstd").saveAsTable(name)
+    remember_table(name)
     texts = spark.table(name)
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     return Corpus(texts, int(size), parts)
