@@ -73,9 +73,21 @@ _STYLE = ["_style_upper", "_style_mark", "_style_kinds", "_style_length", "_styl
 
 
 def vocabulary(rows: DataFrame, size: int = VOCABULARY, least: int = MIN_DOCS) -> list[str]:
-    """The ``size`` words held by most of the rows (ties in the order of words); at least ``least`` rows hold each."""
-    held = rows.select(F.explode(F.array_distinct("_words")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    return [r.w for r in held.where(F.col("n") >= least).orderBy(F.desc("n"), "w").limit(size).collect()]
+    """At most ``size`` words that most of the rows hold, each in at least ``least`` of them.
+
+    Words enter by whole steps of frequency (64 to each doubling), so that a histogram tells which are in; only those
+    reach the driver.
+    """
+    held = rows.select(F.explode(F.array_distinct("_words")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    held = written(held.withColumn("step", F.floor(F.log2("n") * 64).cast("int")), "word_counts")
+    total, floor = 0, None
+    for r in sorted(held.groupBy("step").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r.step):
+        total += r.n
+        if total > size:
+            break
+        floor = r.step
+    words = held.where(F.col("step") >= floor).collect() if floor is not None else []
+    return [r.w for r in sorted(words, key=lambda r: (-r.n, r.w))]
 
 
 def _views(words: list[str]) -> tuple[PipelineModel, PipelineModel]:
@@ -107,20 +119,48 @@ def _sample(df: DataFrame, bound: int, seed: int) -> DataFrame:
     return df if n <= bound else df.where(place <= ((1 << 63) - 1) * 97 * bound // (100 * n))
 
 
+def _place() -> Column:
+    """63 bits of a row's hash, which order rows of equal confidence."""
+    return F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(11)), 1)
+
+
+def _nth(places: DataFrame, n: int) -> int:
+    """The n-th smallest value of ``place``, found by histograms of 12 bits each."""
+    prefix = 0
+    for shift in (51, 39, 27, 15, 3, 0):
+        cells = places.groupBy(F.shiftright("place", shift).alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect()  # 4,096 at most
+        for r in sorted(cells, key=lambda r: r.cell):
+            if n <= r.n:
+                prefix = r.cell
+                break
+            n -= r.n
+        if shift:
+            places = places.where(F.shiftright("place", shift) == prefix)
+    return prefix
+
+
 def pseudo_labels(scored: DataFrame, p: Column, shares: dict[float, float], bound: int = PSEUDO) -> DataFrame:
     """Rows of ``scored`` with ``good`` set and less weight: of each kind its share of ``bound`` rows, the most confident ones.
 
-    Only the confidence and hash of the last row taken reach the driver.
+    Confidences and hashes are written, and histograms of them tell which row is the last; no rows reach the driver.
     """
-    out = []
-    for good, sure in ((1.0, p), (0.0, 1 - p)):
-        rows = scored.withColumns({"_sure": F.round(sure, 3), "_tie": F.xxhash64("doc_id", F.lit(11))}).where(sure >= CONFIDENT)
-        taken = rows.select("_sure", "_tie").orderBy(F.desc("_sure"), "_tie").limit(max(1, int(bound * shares.get(good, 0.0))))
-        last = taken.agg(F.min(F.struct("_sure", (-F.col("_tie").cast("decimal(20,0)")).alias("_tie"))).alias("x")).first().x
-        if last is not None:
-            inside = (F.col("_sure") > last[0]) | ((F.col("_sure") == last[0]) & (F.col("_tie") <= int(-last[1])))
-            out.append(rows.where(inside).withColumns({"good": F.lit(good), "weight": F.lit(PSEUDO_WEIGHT)}).drop("_sure", "_tie"))
-    return out[0].unionByName(out[1]) if len(out) == 2 else out[0] if out else scored.limit(0)
+    kind = F.when(p >= CONFIDENT, 1.0).when(1 - p >= CONFIDENT, 0.0)
+    rows = scored.withColumns({"_kind": kind, "_sure": F.round(F.greatest(p, 1 - p) * 1000).cast("int"), "_place": _place()}).where("_kind is not null")
+    narrow = written(rows.select("_kind", "_sure", F.col("_place").alias("place")), "confidence")
+    cells = narrow.groupBy("_kind", "_sure").agg(F.count(F.lit(1)).alias("n")).collect()  # 62 at most
+    inside = F.lit(False)
+    for good in (1.0, 0.0):
+        left = max(1, int(bound * shares.get(good, 0.0)))
+        for r in sorted((c for c in cells if c["_kind"] == good), key=lambda c: -c["_sure"]):
+            here = (F.col("_kind") == good) & (F.col("_sure") == r["_sure"])
+            if r.n > left:
+                inside |= here & (F.col("_place") <= _nth(narrow.where(here).select("place"), left))
+                break
+            inside |= here
+            left -= r.n
+            if not left:
+                break
+    return rows.where(inside).withColumns({"good": F.col("_kind"), "weight": F.lit(PSEUDO_WEIGHT)}).drop("_kind", "_sure", "_place")
 
 
 class QualityModel:

@@ -84,10 +84,10 @@ def test_most_confident_rows_of_each_kind(spark, bound):
     df = spark.createDataFrame(rows, "doc_id long, p double").withColumns({"good": F.lit(None).cast("double"), "weight": F.lit(1.0)})
     shares = {1.0: 0.75, 0.0: 0.25}
     got = {(x.doc_id, x.good) for x in Q.pseudo_labels(df, F.col("p"), shares, bound).collect()}
-    tie = {x.doc_id: x.h for x in df.select("doc_id", F.xxhash64("doc_id", F.lit(11)).alias("h")).collect()}
+    tie = {x.doc_id: x.h for x in df.select("doc_id", Q._place().alias("h")).collect()}
     want = set()
     for good in (1.0, 0.0):
-        sure = sorted((-round(p if good else 1 - p, 3), tie[i], i) for i, p in rows if (p if good else 1 - p) >= Q.CONFIDENT)
+        sure = sorted((-round((p if good else 1 - p) * 1000), tie[i], i) for i, p in rows if (p if good else 1 - p) >= Q.CONFIDENT)
         want |= {(i, good) for *_, i in sure[: max(1, int(bound * shares[good]))]}
     assert got == want
 
@@ -100,7 +100,7 @@ def test_rounds_equal_a_plain_loop(spark):
     model = Q.train(df, known, pseudo=60)
     view = Q.features(df)
     text, meta = Q._views(Q.vocabulary(view))
-    tie, part = F.xxhash64("doc_id", F.lit(11)).alias("tie"), (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(4)) == 0).alias("part")
+    tie, part = Q._place().alias("tie"), (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(4)) == 0).alias("part")
     rows = meta.transform(text.transform(view)).select("doc_id", "_text_features", "_meta_features", tie, part).collect()
     truth = {i: float(q == 1 and t == 0) for i, q, t in labels if i % 2}
     schema = "doc_id long, good double, weight double"
@@ -118,7 +118,7 @@ def test_rounds_equal_a_plain_loop(spark):
             p = {x.doc_id: x[f"_{mine}_probability"][1] for x in fits[mine].transform(base).collect()}
             more = []
             for good, part_of in ((1.0, share), (0.0, 1 - share)):
-                sure = sorted((-round(p[x.doc_id] if good else 1 - p[x.doc_id], 3), x.tie, x.doc_id) for x in rows if x.doc_id not in truth and (p[x.doc_id] if good else 1 - p[x.doc_id]) >= Q.CONFIDENT)
+                sure = sorted((-round((p[x.doc_id] if good else 1 - p[x.doc_id]) * 1000), x.tie, x.doc_id) for x in rows if x.doc_id not in truth and (p[x.doc_id] if good else 1 - p[x.doc_id]) >= Q.CONFIDENT)
                 more += [(i, good, Q.PSEUDO_WEIGHT) for *_, i in sure[: max(1, int(60 * part_of))]]
             told[other] = seed + more
         fits = {v: fit(told[v], v) for v in told}
