@@ -97,8 +97,11 @@ def cross_correlation(
     )
 
 
-def _loess(y: np.ndarray, span: int) -> np.ndarray:
-    """Local linear smoothing on an even grid with tricube weights of ``span`` points."""
+def _loess(y: np.ndarray, span: int, weight: np.ndarray | None = None) -> np.ndarray:
+    """Local linear smoothing on an even grid with tricube weights of ``span`` points, times the points' own weights.
+
+    Where no point of a window has weight, all count alike.
+    """
     n = len(y)
     span = max(3, span | 1)
     half = span // 2
@@ -106,9 +109,9 @@ def _loess(y: np.ndarray, span: int) -> np.ndarray:
         return y.copy()
     reach = np.arange(-half, half + 1)
     w = (1 - (np.abs(reach) / (half + 1)) ** 3) ** 3
-    inside = np.ones(n)
+    inside = np.ones(n) if weight is None else weight
     pad = np.zeros(half)
-    yy, on = np.concatenate([pad, y, pad]), np.concatenate([pad, inside, pad])
+    yy, on = np.concatenate([pad, y * inside, pad]), np.concatenate([pad, inside, pad])
     # Weighted moments around every point; correlation with the kernel sums over the window.
     s0 = np.correlate(on, w, "valid")
     s1 = np.correlate(on, w * reach, "valid")
@@ -116,38 +119,66 @@ def _loess(y: np.ndarray, span: int) -> np.ndarray:
     t0 = np.correlate(yy, w, "valid")
     t1 = np.correlate(yy, w * reach, "valid")
     den = s0 * s2 - s1 * s1
-    flat = t0 / s0
-    return np.where(np.abs(den) > 1e-12, (s2 * t0 - s1 * t1) / np.where(den == 0, 1, den), flat)
+    flat = t0 / np.where(s0 > 1e-9, s0, 1)
+    out = np.where(np.abs(den) > 1e-12, (s2 * t0 - s1 * t1) / np.where(den == 0, 1, den), flat)
+    return out if weight is None or (s0 > 1e-9).all() else np.where(s0 > 1e-9, out, _loess(y, span))
 
 
 def _moving(y: np.ndarray, k: int) -> np.ndarray:
     return np.convolve(y, np.ones(k) / k, "valid")
 
 
-def decompose(y: np.ndarray, period: int, trend_span: int, rounds: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """Seasonal and trend parts by alternating local smoothing; the rest is the remainder."""
+#: Outer rounds of the robust decomposition, which end when no weight moves by more than ``SETTLED``.
+OUTER, SETTLED = 15, 0.01
+
+
+def robust_weights(remainder: np.ndarray) -> np.ndarray:
+    """Bisquare weights: 1 near zero, 0 beyond six times the median size."""
+    size = np.abs(remainder)
+    h = 6 * float(np.median(size))
+    near = (1 - (size / h) ** 2) ** 2 if h > 0 else np.zeros(len(size))
+    return np.where(size <= 0.001 * h, 1.0, np.where(size <= 0.999 * h, near, 0.0))
+
+
+def decompose(y: np.ndarray, period: int, trend_span: int, rounds: int = 2, outer: int = OUTER) -> tuple[np.ndarray, np.ndarray]:
+    """Season (a periodic pattern) and trend by alternating local smoothing; the rest is the remainder.
+
+    After each outer round days with a large remainder weigh less (``outer`` = 0: all days alike). A series of fewer
+    than two periods and a day has no season (NaN).
+    """
     n = len(y)
     if n < 2 * period + 1:
-        return np.zeros(n), _loess(y, n)
+        return np.full(n, np.nan), _loess(y, n)
     trend = np.zeros(n)
     season = np.zeros(n)
-    for _ in range(rounds):
-        detrended = y - trend
-        cycle = np.empty(n + 2 * period)
-        for phase in range(period):
-            sub = detrended[phase::period]
-            # A periodic pattern: every phase keeps its mean, extended by one cycle each side.
-            cycle[phase::period] = sub.mean()
-        low = _loess(_moving(_moving(_moving(cycle, period), period), 3), period)
-        season = cycle[period : period + n] - low[:n]
-        trend = _loess(y - season, trend_span)
+    weight = np.ones(n)
+    for step in range(outer + 1):
+        for _ in range(rounds):
+            detrended = y - trend
+            cycle = np.empty(n + 2 * period)
+            for phase in range(period):
+                # every phase keeps its weighted mean, extended by one cycle each side
+                sub, w = detrended[phase::period], weight[phase::period]
+                cycle[phase::period] = (sub * w).sum() / w.sum() if w.sum() > 1e-9 else sub.mean()
+            low = _loess(_moving(_moving(_moving(cycle, period), period), 3), period)
+            season = cycle[period : period + n] - low[:n]
+            trend = _loess(y - season, trend_span, None if step == 0 else weight)
+        if step < outer:
+            fresh = robust_weights(y - season - trend)
+            moved = float(np.abs(fresh - weight).max())
+            weight = fresh
+            if step and moved <= SETTLED:
+                break
     return season, trend
 
 
 def stl(
     df: DataFrame, keys: Sequence[str], value: str, date: str = "ds", period: int = 7, trend_span: int = 92
 ) -> DataFrame:
-    """Observed value split into season, trend and remainder, series by series."""
+    """Observed value split into season, trend and remainder, series by series, by robust smoothing.
+
+    A series too short for a season has none (NULL); its remainder is what the trend leaves.
+    """
     parts = ("observed", "season", "trend", "remainder")
     schema = T.StructType(
         [df.schema[k] for k in keys] + [df.schema[date]] + [T.StructField(p, T.DoubleType()) for p in parts]
@@ -159,7 +190,7 @@ def stl(
         season, trend = decompose(y, period, trend_span)
         out = pdf[[*keys, date]].copy()
         out["observed"], out["season"], out["trend"] = y, season, trend
-        out["remainder"] = y - season - trend
+        out["remainder"] = y - np.nan_to_num(season) - trend
         return out
 
     rows = df.where(F.col(value).isNotNull()).select(*keys, date, value)

@@ -91,3 +91,26 @@ def test_reshapes(spark):
     assert parameter_grid(df, {"p": range(3), "q": [1, 2]}).count() == 18
     both = stack_frames(df.drop("v"), df.drop("n"))
     assert both.columns == ["k", "n", "v"] and both.where("v IS NULL").count() == 3
+
+
+def test_outliers_do_not_bend_season_or_trend():
+    r = np.random.default_rng(3)
+    t = np.arange(210)
+    truth = 0.02 * t, np.sin(2 * np.pi * t / 7)
+    y = truth[0] + truth[1] + r.normal(0, 0.05, 210)
+    spiked = y.copy()
+    spiked[[20, 21, 90, 91, 92, 150]] += 40
+    season, trend = diagnostics.decompose(spiked, 7, 31)
+    plain = diagnostics.decompose(spiked, 7, 31, outer=0)
+    clean = diagnostics.decompose(y, 7, 31, outer=0)
+    error = lambda a, b: float(np.abs(a - b).mean())
+    assert error(season, truth[1]) < 0.1 < error(plain[0], truth[1])
+    assert error(trend, truth[0]) < 0.1 < error(plain[1], truth[0])
+    assert error(diagnostics.decompose(y, 7, 31)[1], clean[1]) < 0.02
+
+
+def test_weights_and_short_series(spark):
+    w = diagnostics.robust_weights(np.array([0.0, 1.0, -1.0, 3.0, 100.0]))
+    assert w[0] == 1 and w[1] == w[2] == pytest.approx((1 - 1 / 36) ** 2) and w[4] == 0 and 0 < w[3] < w[1]
+    out = diagnostics.stl(daily(spark, [1.0, 2.0, 3.0, 4.0]), ["k"], "v").orderBy("ds").collect()
+    assert all(x.season is None for x in out) and [x.trend + x.remainder for x in out] == pytest.approx([1, 2, 3, 4])
