@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayloom.llm import bpe, cotraining, crf_language, decontamination, jaccard_join, lexical_search, line_dedup, multi_index, quotes, recompression, spelling, suffix_tree, token_files
+from dayloom.llm import bpe, cotraining, crf_language, decontamination, jaccard_join, lexical_search, line_dedup, multi_index, quotes, recompression, spelling, sql, suffix_tree, token_files
 from dayloom.llm.corpus import written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,4 +108,9 @@ QUERIES: dict[str, Query] = {
     "op12_lexical_search": op12_lexical_search,
     "op13_repair_files": op13_repair_files,
 }
-SQL: dict[str, str] = {"op1_line_dedup": line_dedup.SQL, "op12_lexical_search": lexical_search.SQL}
+SQL: dict[str, str] = {
+    "op1_line_dedup": line_dedup.SQL,
+    "op4_recompression": sql.REPEATED_PASSAGES,
+    "op10_ngram_jaccard": sql.JACCARD_CLASSES,
+    "op12_lexical_search": lexical_search.SQL,
+}
