@@ -144,23 +144,33 @@ def pseudo_labels(scored: DataFrame, p: Column, shares: dict[float, float], boun
 
     Confidences and hashes are written, and histograms of them tell which row is the last; no rows reach the driver.
     """
-    kind = F.when(p >= CONFIDENT, 1.0).when(1 - p >= CONFIDENT, 0.0)
-    rows = scored.withColumns({"_kind": kind, "_sure": F.round(F.greatest(p, 1 - p) * 1000).cast("int"), "_place": _place()}).where("_kind is not null")
-    narrow = written(rows.select("_kind", "_sure", F.col("_place").alias("place")), "confidence")
-    cells = narrow.groupBy("_kind", "_sure").agg(F.count(F.lit(1)).alias("n")).collect()  # 62 at most
-    inside = F.lit(False)
+
+    def told(x: Column) -> Column:
+        kind = F.when(x >= CONFIDENT, 1.0).when(1 - x >= CONFIDENT, 0.0)
+        return F.struct(kind.alias("kind"), F.round(F.greatest(x, 1 - x) * 1000).cast("int").alias("sure"))
+
+    # a lambda's argument is worked out once, where a column's expression is repeated wherever it is used
+    once = F.transform(F.array(p), told)[0]
+    narrow = scored.select(once.alias("t"), _place().alias("place")).select("t.kind", "t.sure", "place").where("kind is not null")
+    narrow = written(narrow, "confidence")
+    cells = narrow.groupBy("kind", "sure").agg(F.count(F.lit(1)).alias("n")).collect()  # 62 at most
+    cuts = {}
     for good in (1.0, 0.0):
-        left = max(1, int(bound * shares.get(good, 0.0)))
-        for r in sorted((c for c in cells if c["_kind"] == good), key=lambda c: -c["_sure"]):
-            here = (F.col("_kind") == good) & (F.col("_sure") == r["_sure"])
+        left, cut = max(1, int(bound * shares.get(good, 0.0))), (0, -1)
+        for r in sorted((c for c in cells if c.kind == good), key=lambda c: -c.sure):
             if r.n > left:
-                inside |= here & (F.col("_place") <= _nth(narrow.where(here).select("place"), left))
+                cut = (r.sure, _nth(narrow.where((F.col("kind") == good) & (F.col("sure") == r.sure)).select("place"), left) if left else -1)
                 break
-            inside |= here
             left -= r.n
-            if not left:
-                break
-    return rows.where(inside).withColumns({"good": F.col("_kind"), "weight": F.lit(PSEUDO_WEIGHT)}).drop("_kind", "_sure", "_place")
+        cuts[good] = cut
+
+    def taken(x: Column) -> Column:
+        t = told(x)
+        sure, place = t["sure"], _place()
+        fits = {g: (sure > s) | ((sure == s) & (place <= at)) for g, (s, at) in cuts.items()}
+        return F.when((t["kind"] == 1.0) & fits[1.0], 1.0).when((t["kind"] == 0.0) & fits[0.0], 0.0)
+
+    return scored.withColumn("good", F.transform(F.array(p), taken)[0]).where("good is not null").withColumn("weight", F.lit(PSEUDO_WEIGHT))
 
 
 class QualityModel:
