@@ -145,14 +145,12 @@ def pseudo_labels(scored: DataFrame, p: Column, shares: dict[float, float], boun
     Confidences and hashes are written, and histograms of them tell which row is the last; no rows reach the driver.
     """
 
-    def told(x: Column) -> Column:
-        kind = F.when(x >= CONFIDENT, 1.0).when(1 - x >= CONFIDENT, 0.0)
-        return F.struct(kind.alias("kind"), F.round(F.greatest(x, 1 - x) * 1000).cast("int").alias("sure"))
-
-    # a lambda's argument is worked out once, where a column's expression is repeated wherever it is used
-    once = F.transform(F.array(p), told)[0]
-    narrow = scored.select(once.alias("t"), _place().alias("place")).select("t.kind", "t.sure", "place").where("kind is not null")
-    narrow = written(narrow, "confidence")
+    # a filter on the row number stays above the projection, so that the confidence is worked out once a row
+    rows = scored.withColumns({"_p": p, "_row": F.monotonically_increasing_id(), "_place": _place()}).where("_row >= 0")
+    x = F.col("_p")
+    kind = F.when(x >= CONFIDENT, 1.0).when(1 - x >= CONFIDENT, 0.0)
+    sure = F.round(F.greatest(x, 1 - x) * 1000).cast("int")
+    narrow = written(rows.select(kind.alias("kind"), sure.alias("sure"), F.col("_place").alias("place")).where("kind is not null"), "confidence")
     cells = narrow.groupBy("kind", "sure").agg(F.count(F.lit(1)).alias("n")).collect()  # 62 at most
     cuts = {}
     for good in (1.0, 0.0):
@@ -164,13 +162,10 @@ def pseudo_labels(scored: DataFrame, p: Column, shares: dict[float, float], boun
             left -= r.n
         cuts[good] = cut
 
-    def taken(x: Column) -> Column:
-        t = told(x)
-        sure, place = t["sure"], _place()
-        fits = {g: (sure > s) | ((sure == s) & (place <= at)) for g, (s, at) in cuts.items()}
-        return F.when((t["kind"] == 1.0) & fits[1.0], 1.0).when((t["kind"] == 0.0) & fits[0.0], 0.0)
-
-    return scored.withColumn("good", F.transform(F.array(p), taken)[0]).where("good is not null").withColumn("weight", F.lit(PSEUDO_WEIGHT))
+    good = F.lit(None).cast("double")
+    for g, (least, last) in cuts.items():
+        good = F.when((kind == g) & ((sure > least) | ((sure == least) & (F.col("_place") <= last))), g).otherwise(good)
+    return rows.withColumn("good", good).where("good is not null").withColumn("weight", F.lit(PSEUDO_WEIGHT)).drop("_p", "_row", "_place")
 
 
 class QualityModel:
