@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dayloom.llm.corpus import written
@@ -54,11 +54,9 @@ def _sites(docs: DataFrame) -> DataFrame:
     return _lines(named, "source", *_TEXT).groupBy(*_KEY, *_TEXT).agg(F.min("source").alias("site"), F.count(F.lit(1)).alias("n"))
 
 
-def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> tuple[DataFrame, int]:
-    """(line_a, line_b and the number of occurrences of every line on at least ``min_sites`` sites; the number of all lines)."""
-    total = Observation()
+def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
+    """line_a, line_b and the number of occurrences of every line on at least ``min_sites`` sites."""
     sketched = _sites(docs).groupBy(*_KEY).agg(F.hll_sketch_agg("site", F.lit(lg_k)).alias("sites"), F.sum("n").alias("n"))
-    sketched = sketched.observe(total, F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
     estimated = sketched.select(*_KEY, "n", F.hll_sketch_estimate("sites").alias("estimate"))
     margin = max(1, math.ceil(min_sites * 4 * 1.04 / math.sqrt(2**lg_k)))
     spread = written(estimated.where(F.col("estimate") >= min_sites - margin), "spread")
@@ -68,15 +66,16 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -
         _sites(docs).join(near, _KEY).groupBy(*_KEY, "total", "site").agg(F.lit(1).alias("one"))
         .groupBy(*_KEY, "total").agg(F.count("site").alias("exact")).where(F.col("exact") >= min_sites)
     )
-    return written(sure.unionByName(exact.select(*_KEY, F.col("total").alias("n"))), "boilerplate"), int(total.get["n"])
+    return written(sure.unionByName(exact.select(*_KEY, F.col("total").alias("n"))), "boilerplate")
 
 
 def clean(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
     """All columns with boilerplate lines taken out of ``text``, and n_lines, n_removed."""
-    bad, total = boilerplate(docs, min_sites, lg_k)
+    bad = boilerplate(docs, min_sites, lg_k)
     lines = _lines(_row_key(docs.select("doc_id", "text")), *_ROW)
     # Lines in very many rows would meet in one task: there are at most 1 / HOT_SHARE of them,
     # which are broadcast; all others are joined by their key.
+    total = docs.agg(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), "\n")))).first()[0] or 0
     floor = max(1, math.ceil(total * HOT_SHARE))
     hot = F.broadcast(bad.where(F.col("n") >= floor).select(*_KEY))
     rest = bad.where(F.col("n") < floor).select(*_KEY)
