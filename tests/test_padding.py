@@ -1,12 +1,16 @@
 from __future__ import annotations
 
+import random
+import re
 from datetime import date, timedelta
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from dayloom.operators.padding import carry_forward, clean_panel, extended_stop, future_frame, monthly_to_daily, pad_daily
+from dayloom.operators.padding import carry_forward, clean_panel, days_covered, extended_stop, future_frame, monthly_to_daily, pad_daily
+from dayloom.operators.select import null_safe_sum
+from dayloom.plans.panel import MEASURES, entity_panel, with_growth
 from dayloom.session import newest
 
 KEYS = ["entity_id", "class_id"]
@@ -86,3 +90,24 @@ def test_future_frame(spark):
     out = future_frame(src, ["entity_id"], 3)
     ahead = sorted((r.entity_id, r.ds) for r in out.where("v IS NULL").collect())
     assert ahead == [("a", d(2)), ("a", d(3)), ("a", d(4)), ("b", d(6)), ("b", d(7)), ("b", d(8))]
+
+
+def test_entity_sums_shuffle_no_padded_rows(spark):
+    """Sums and lengths equal those over the padded panel, with repeated and null days, keys and values."""
+    rng = random.Random(3)
+    rows = []
+    for _ in range(400):
+        e, c, day = rng.choice(["a", "b", "c", None]), rng.choice(["x", "y", None]), rng.choice([0, 1, 63, 64, 65, 127, 200, 231, 232])
+        r = list(row(e, c, day + (300 if e == "c" and c == "x" else 0), *[rng.choice([None, rng.randint(-500, 500) / 8]) for _ in range(6)]))
+        rows.append((*r[:2], None if rng.random() < 0.05 else r[2], *r[3:]))
+    facts = spark.createDataFrame(rows, SCHEMA)
+    padded = clean_panel(facts, KEYS).groupBy("entity_id", "ds").agg(*[null_safe_sum(m).alias(m) for m in MEASURES])
+    length = {r.entity_id: r["count"] for r in padded.groupBy("entity_id").count().collect()}
+    least = sorted(n for e, n in length.items() if e)[1]
+    assert {r.entity_id: r.n for r in days_covered(facts, KEYS, "ds").collect()} == length
+    got = entity_panel(facts, KEYS, min_days=least)
+    want = with_growth(padded.where(F.col("entity_id").isin([e for e, n in length.items() if e and n >= least])))
+    assert got.count() == want.count() > 0
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(entity_id#" in plan and not re.search(r"hashpartitioning\(entity_id#\d+, ds#", plan)
