@@ -37,6 +37,8 @@ CONFIDENT = 0.97
 PSEUDO_WEIGHT = 0.3
 VOCABULARY, MIN_DOCS = 1 << 14, 4
 THRESHOLD = 0.5
+#: Hashes that are sorted by the driver rather than counted once more.
+FEW = 10_000
 _TEXT, _META = ["counts", "style"], ["meta"]
 _ADDED = ["score", "text_score", "meta_score", "keep"]
 
@@ -124,18 +126,21 @@ def _place() -> Column:
     return F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(11)), 1)
 
 
-def _nth(places: DataFrame, n: int) -> int:
-    """The n-th smallest value of ``place``, found by histograms of 12 bits each."""
+def _nth(places: DataFrame, n: int, few: int = FEW) -> int:
+    """The n-th smallest value of ``place``: histograms of 12 bits narrow it down until at most ``few`` values are left, which are sorted."""
     prefix = 0
     for shift in (51, 39, 27, 15, 3, 0):
         cells = places.groupBy(F.shiftright("place", shift).alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect()  # 4,096 at most
         for r in sorted(cells, key=lambda r: r.cell):
             if n <= r.n:
-                prefix = r.cell
+                prefix, held = r.cell, r.n
                 break
             n -= r.n
-        if shift:
-            places = places.where(F.shiftright("place", shift) == prefix)
+        if not shift:
+            break
+        places = places.where(F.shiftright("place", shift) == prefix)
+        if held <= few:
+            return sorted(r.place for r in places.collect())[n - 1]
     return prefix
 
 

@@ -138,3 +138,16 @@ def test_repeated_rows_and_several_labels(spark):
     scores = {}
     for x in got:
         assert scores.setdefault(x.doc_id, x.score) == x.score
+
+
+def test_nth_hash_takes_few_queries(spark, monkeypatch):
+    """The n-th smallest of hashes with copies, by as few queries as the values left allow."""
+    r = random.Random(8)
+    values = [r.getrandbits(63) for _ in range(300)] + [5 << 51 | 7] * 40 + [(5 << 51) + k for k in range(30)]
+    df = spark.createDataFrame([(v,) for v in values], "place long")
+    asked, plain = [], type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: asked.append(1) or plain(self))
+    for n in (1, 60, 200, len(values)):
+        asked.clear()
+        assert Q._nth(df, n) == sorted(values)[n - 1] and len(asked) == 2
+    assert Q._nth(df, 60, few=1) == sorted(values)[59]
