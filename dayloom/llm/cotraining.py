@@ -21,6 +21,8 @@ columns are kept, and columns named score, text_score, meta_score or keep are re
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizerModel, FeatureHasher, VectorAssembler
@@ -37,6 +39,8 @@ CONFIDENT = 0.97
 PSEUDO_WEIGHT = 0.3
 VOCABULARY, MIN_DOCS = 1 << 14, 4
 THRESHOLD = 0.5
+#: Tasks of a fit, whose rows are bounded: up to four are added up without a shuffle in each iteration.
+FIT_TASKS = 4
 #: Hashes that are sorted by the driver rather than counted once more.
 FEW = 10_000
 _TEXT, _META = ["counts", "style"], ["meta"]
@@ -49,18 +53,18 @@ def _share(text: Column, drop: str) -> Column:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """Columns of both views beside the given ones: _words, _style_*, _source, _lang, _size, _both."""
+    """Columns of both views beside the given ones: _words, _kinds (each of them once), _style_*, _source, _lang, _size, _both."""
     text = F.coalesce(F.col("text"), F.lit(""))
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     source, lang = (F.coalesce(F.col(c).cast("string"), F.lit("?")) for c in ("source", "lang"))
     size = F.floor(F.log2(F.coalesce(F.col("n_chars"), F.lit(0)) + 1)).cast("string")
-    out = docs.withColumn("_words", words)
+    out = docs.withColumn("_words", words).withColumn("_kinds", F.array_distinct("_words"))
     n = F.greatest(F.size("_words"), F.lit(1))
     return out.withColumns(
         {
             "_style_upper": _share(text, r"\p{Lu}+"),
             "_style_mark": _share(text, r"[^\p{L}\p{N}\s.,;:'()-]+"),
-            "_style_kinds": F.size(F.array_distinct("_words")) / F.pow(n, 0.8),
+            "_style_kinds": F.size("_kinds") / F.pow(n, 0.8),
             "_style_length": F.length(text) / n / 20,
             "_style_blank": (F.size("_words") == 0).cast("double"),
             "_source": source,
@@ -80,7 +84,7 @@ def vocabulary(rows: DataFrame, size: int = VOCABULARY, least: int = MIN_DOCS) -
     Words enter by whole steps of frequency (64 to each doubling), so that a histogram tells which are in; only those
     reach the driver.
     """
-    held = rows.select(F.explode(F.array_distinct("_words")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    held = rows.select(F.explode("_kinds").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     held = written(held.withColumn("step", F.floor(F.log2("n") * 64).cast("int")), "word_counts")
     total, floor = 0, None
     for r in sorted(held.groupBy("step").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r.step):
@@ -93,13 +97,22 @@ def vocabulary(rows: DataFrame, size: int = VOCABULARY, least: int = MIN_DOCS) -
 
 
 def _views(words: list[str]) -> tuple[PipelineModel, PipelineModel]:
-    """Features of both views; the words are fixed, the hashes of metadata need no fit."""
-    counts = CountVectorizerModel.from_vocabulary(words or ["\0"], inputCol="_words", outputCol="counts").setBinary(True)
+    """Features of both views; the words are fixed, the hashes of metadata need no fit. Only whether a row holds a word counts, so each is given once."""
+    counts = CountVectorizerModel.from_vocabulary(words or ["\0"], inputCol="_kinds", outputCol="counts").setBinary(True)
     text = PipelineModel([counts, VectorAssembler(inputCols=["counts", *_STYLE], outputCol="_text_features", handleInvalid="keep")])
     meta = PipelineModel([FeatureHasher(inputCols=["_source", "_lang", "_size", "_both"], outputCol="_meta_features", numFeatures=2048)])
     return text, meta
 
 
+def _unnamed(df: DataFrame, vectors: Sequence[str]) -> DataFrame:
+    """Vector columns that keep their length but not a name for each of their elements, which every file and plan would repeat."""
+    for c in vectors:
+        size = df.schema[c].metadata.get("ml_attr", {}).get("num_attrs")
+        if size is not None:
+            df = df.withMetadata(c, {"ml_attr": {"num_attrs": size}})
+    return df
+
+
 def _fit(df: DataFrame, view: str) -> LogisticRegressionModel:
     """Text has many useless words: an L1 share drops them."""
     reg, mix = (0.0008, 0.9) if view == "text" else (0.002, 0.0)
@@ -210,11 +223,12 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pseudo:
     if len(kinds) < 2:
         return QualityModel(None, None, None, None, (0.0, 0.0, 0.0), only=next(iter(kinds), 1.0))
     shares = {g: sum(n for (h, _), n in counts.items() if h == g) / sum(counts.values()) for g in kinds}
-    tasks = max(1, int(docs.sparkSession.sparkContext.defaultParallelism))
+    tasks = min(FIT_TASKS, max(1, int(docs.sparkSession.sparkContext.defaultParallelism)))
     text_model, meta_model = _views(vocabulary(view))
     made = meta_model.transform(text_model.transform(view.join(some, "doc_id", "left")))
     made = made.withColumns({"weight": F.lit(1.0), "calibrates": F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(4)) == 0})
-    rows = written(made.select("doc_id", "good", "weight", "calibrates", "_text_features", "_meta_features"), "views")
+    made = _unnamed(made.select("doc_id", "good", "weight", "calibrates", "_text_features", "_meta_features"), ["_text_features", "_meta_features"])
+    rows = written(made, "views")
     labelled_rows, others = written(rows.where("good is not null"), "labelled").coalesce(tasks), rows.where("good is null")
     seed = labelled_rows.where("not calibrates")
     told = {"text": seed, "meta": seed}

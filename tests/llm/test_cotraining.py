@@ -151,3 +151,18 @@ def test_nth_hash_takes_few_queries(spark, monkeypatch):
         asked.clear()
         assert Q._nth(df, n) == sorted(values)[n - 1] and len(asked) == 2
     assert Q._nth(df, 60, few=1) == sorted(values)[59]
+
+
+def test_written_vectors_name_no_elements(spark, monkeypatch):
+    docs, labels = make(4, 400)
+    seen = {}
+    monkeypatch.setattr(Q, "written", lambda df, name: seen.setdefault(name, df).localCheckpoint())
+    Q.train(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels[::2], LABELS), labelled=100, pseudo=60, rounds=1)
+    size = seen["views"].schema["_text_features"].metadata["ml_attr"]["num_attrs"]
+    assert size == len(Q.vocabulary(Q.features(spark.createDataFrame(docs, SCHEMA)))) + len(Q._STYLE)
+    assert all(len(f.json()) < 2000 for df in seen.values() for f in df.schema)
+
+
+def test_repeated_words_are_counted_once(spark):
+    row = Q.features(spark.createDataFrame([(1, "A b a, B c", "en", "s", 10)], SCHEMA)).first()
+    assert row._words == ["a", "b", "a", "b", "c"] and row._kinds == ["a", "b", "c"]
