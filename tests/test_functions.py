@@ -100,3 +100,25 @@ def test_missing_check_and_scaling(spark):
     assert (r.a, r.b) == (True, False)
     z = standardize(spark.createDataFrame([(1.0, 5.0), (3.0, 5.0)], "a double, b double"), ["a", "b"]).orderBy("a").collect()
     assert z[0].a == pytest.approx(-(0.5**0.5)) and z[0].b is None
+
+
+def test_rounding_without_decimals_gives_the_same_bits(spark):
+    import random
+    import struct
+
+    r = random.Random(5)
+    values = [0.0, -0.0, 0.5, -0.5, 2.5e-7, 1.0000005, 1.15, -1.15, 0.05, 1e300, -1e300, 5e-324, 1e12, 1.5e12 + 0.25, float("nan"), float("inf"), -float("inf"), None]
+    values += [r.choice((-1, 1)) * r.random() * 10.0 ** r.randrange(-10, 16) for _ in range(20_000)]
+    values += [r.randrange(-(10**7), 10**7) / 2 / 10**d for d in (0, 1, 6, 9) for _ in range(2_000)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    bits = lambda v: None if v is None else struct.pack(">d", v)
+    for digits in (1, 6, 9):
+        rows = df.select(measures.round_double(F.col("x"), digits).alias("a"), F.round("x", digits).alias("b"), "x").collect()
+        assert [x.x for x in rows if bits(x.a) != bits(x.b)] == []
+
+
+def test_only_doubles_are_rounded_without_decimals(spark):
+    df = spark.sql("SELECT CAST(1.25 AS DECIMAL(10,4)) AS d, 7L AS n, 0.12345678D AS x")
+    out = measures.with_rounded(df, ["d", "n", "x"], 1)
+    assert out.dtypes == df.select(F.round("d", 1).alias("d"), F.round("n", 1).alias("n"), F.round("x", 1).alias("x")).dtypes
+    assert [float(v) for v in out.first()] == [1.3, 7.0, 0.1]
