@@ -17,7 +17,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dayloom.session import in_threads
+
 SWEEPS = 100
+#: Columns of one aggregate.
+WIDTH = 6
 #: Columns whose variance is below this share of their size are constant.
 FLAT = 1e-12
 
@@ -35,15 +39,37 @@ class Sums:
     def total(self) -> np.ndarray:
         return self.products.sum(axis=0)
 
+    @property
+    def spread(self) -> float:
+        """Standard deviation of the target, 1 if it is constant."""
+        t = self.total
+        n = max(t[0, 0], 1.0)
+        sd = float(np.sqrt(max(t[-1, -1] / n - (t[0, -1] / n) ** 2, 0.0)) * self.scale[-1])
+        return sd if sd > 0 else 1.0
+
+
+def moments(rows: DataFrame, columns: Sequence[str]) -> list[tuple[float, float]]:
+    """Mean and standard deviation of every column, 0 without values.
+
+    A few columns at a time: an aggregate of all of them compiles to a method too long for the JVM to optimise.
+    """
+    parts = [list(columns[at : at + WIDTH]) for at in range(0, len(columns), WIDTH)]
+
+    def run(part: list[str]) -> list[tuple[float, float]]:
+        found = rows.agg(*[F.struct(F.coalesce(F.avg(c), F.lit(0.0)), F.coalesce(F.stddev_pop(c), F.lit(0.0))) for c in part]).first()
+        return [(float(m), float(s)) for m, s in found]
+
+    return [x for part in in_threads(rows.sparkSession, [lambda p=p: run(p) for p in parts]) for x in part]
+
 
 def fold_sums(rows: DataFrame, columns: Sequence[str], target: str, fold: Column | str, folds: int) -> Sums:
     """Sums of the rows with a target; a null in a column is a missing value."""
     columns = list(columns)
     named = [*columns, target]
     known = rows.where(F.col(target).isNotNull()).select(*[F.col(c).cast("double").alias(c) for c in named], (F.col(fold) if isinstance(fold, str) else fold).cast("int").alias("_fold"))
-    stats = known.agg(*[F.coalesce(F.avg(c), F.lit(0.0)) for c in named], *[F.coalesce(F.stddev_pop(c), F.lit(0.0)) for c in named]).first()
-    shift = np.array(stats[: len(named)], dtype=float)
-    scale = np.array([s if s > FLAT * max(1.0, abs(m)) else 1.0 for s, m in zip(stats[len(named) :], shift, strict=True)])
+    stats = moments(known, named)
+    shift = np.array([m for m, _ in stats])
+    scale = np.array([s if s > FLAT * max(1.0, abs(m)) else 1.0 for m, s in stats])
     size = 2 * len(columns) + 2
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
