@@ -92,6 +92,17 @@ def test_future_frame(spark):
     assert ahead == [("a", d(2)), ("a", d(3)), ("a", d(4)), ("b", d(6)), ("b", d(7)), ("b", d(8))]
 
 
+def test_future_frame_computes_the_history_once(spark):
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int"))
+    src = spark.range(7).select((F.col("id") % 2).alias("entity_id"), F.when(F.col("id") > 0, day).alias("ds"), F.col("id").cast("double").alias("v"))
+    out = future_frame(src, ["entity_id"], 2)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+    rows = sorted(((r.entity_id, r.ds, r.v) for r in out.where("ds is not null").collect()), key=lambda r: r[:2])
+    assert rows == [(0, d(2), 2.0), (0, d(4), 4.0), (0, d(6), 6.0), (0, d(7), None), (0, d(8), None),
+                    (1, d(1), 1.0), (1, d(3), 3.0), (1, d(5), 5.0), (1, d(6), None), (1, d(7), None)]
+    assert out.where("ds is null").count() == 1
+
+
 def test_entity_sums_shuffle_no_padded_rows(spark):
     """Sums and lengths equal those over the padded panel, with repeated and null days, keys and values."""
     rng = random.Random(3)
