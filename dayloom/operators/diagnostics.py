@@ -97,31 +97,45 @@ def cross_correlation(
     )
 
 
-def _loess(y: np.ndarray, span: int, weight: np.ndarray | None = None) -> np.ndarray:
+class _Loess:
     """Local linear smoothing on an even grid with tricube weights of ``span`` points, times the points' own weights.
 
-    Where no point of a window has weight, all count alike.
+    What does not depend on the values is worked out once. Where no point of a window has weight, all count alike.
     """
-    n = len(y)
-    span = max(3, span | 1)
-    half = span // 2
-    if n < 3:
-        return y.copy()
-    reach = np.arange(-half, half + 1)
-    w = (1 - (np.abs(reach) / (half + 1)) ** 3) ** 3
-    inside = np.ones(n) if weight is None else weight
-    pad = np.zeros(half)
-    yy, on = np.concatenate([pad, y * inside, pad]), np.concatenate([pad, inside, pad])
-    # Weighted moments around every point; correlation with the kernel sums over the window.
-    s0 = np.correlate(on, w, "valid")
-    s1 = np.correlate(on, w * reach, "valid")
-    s2 = np.correlate(on, w * reach * reach, "valid")
-    t0 = np.correlate(yy, w, "valid")
-    t1 = np.correlate(yy, w * reach, "valid")
-    den = s0 * s2 - s1 * s1
-    flat = t0 / np.where(s0 > 1e-9, s0, 1)
-    out = np.where(np.abs(den) > 1e-12, (s2 * t0 - s1 * t1) / np.where(den == 0, 1, den), flat)
-    return out if weight is None or (s0 > 1e-9).all() else np.where(s0 > 1e-9, out, _loess(y, span))
+
+    def __init__(self, n: int, span: int, weight: np.ndarray | None = None):
+        self.n, self.weight, span = n, weight, max(3, span | 1)
+        self.half = half = span // 2
+        reach = np.arange(-half, half + 1)
+        self.w = w = (1 - (np.abs(reach) / (half + 1)) ** 3) ** 3
+        self.slope = w * reach
+        self.inside = np.ones(n) if weight is None else weight
+        self.pad = np.zeros(half)
+        if n < 3:
+            return
+        on = np.concatenate([self.pad, self.inside, self.pad])
+        # Weighted moments around every point; correlation with the kernel sums over the window.
+        self.s0 = np.correlate(on, w, "valid")
+        self.s1 = np.correlate(on, self.slope, "valid")
+        self.s2 = np.correlate(on, w * reach * reach, "valid")
+        self.den = self.s0 * self.s2 - self.s1 * self.s1
+        self.alike = None if weight is None or (self.s0 > 1e-9).all() else _Loess(n, span)
+
+    def __call__(self, y: np.ndarray) -> np.ndarray:
+        if self.n < 3:
+            return y.copy()
+        yy = np.concatenate([self.pad, y * self.inside, self.pad])
+        s0, s1, s2, den = self.s0, self.s1, self.s2, self.den
+        t0 = np.correlate(yy, self.w, "valid")
+        t1 = np.correlate(yy, self.slope, "valid")
+        flat = t0 / np.where(s0 > 1e-9, s0, 1)
+        out = np.where(np.abs(den) > 1e-12, (s2 * t0 - s1 * t1) / np.where(den == 0, 1, den), flat)
+        return out if self.alike is None else np.where(s0 > 1e-9, out, self.alike(y))
+
+
+def _loess(y: np.ndarray, span: int, weight: np.ndarray | None = None) -> np.ndarray:
+    """``_Loess`` of one series."""
+    return _Loess(len(y), span, weight)(y)
 
 
 def _moving(y: np.ndarray, k: int) -> np.ndarray:
@@ -152,17 +166,21 @@ def decompose(y: np.ndarray, period: int, trend_span: int, rounds: int = 2, oute
     trend = np.zeros(n)
     season = np.zeros(n)
     weight = np.ones(n)
+    # three moving averages take 2 * period off the extended cycle
+    lowpass = _Loess(n, period)
     for step in range(outer + 1):
+        smooth = _Loess(n, trend_span, None if step == 0 else weight)
+        held = [weight[phase::period].sum() for phase in range(period)]
         for _ in range(rounds):
             detrended = y - trend
             cycle = np.empty(n + 2 * period)
             for phase in range(period):
                 # every phase keeps its weighted mean, extended by one cycle each side
                 sub, w = detrended[phase::period], weight[phase::period]
-                cycle[phase::period] = (sub * w).sum() / w.sum() if w.sum() > 1e-9 else sub.mean()
-            low = _loess(_moving(_moving(_moving(cycle, period), period), 3), period)
-            season = cycle[period : period + n] - low[:n]
-            trend = _loess(y - season, trend_span, None if step == 0 else weight)
+                cycle[phase::period] = (sub * w).sum() / held[phase] if held[phase] > 1e-9 else sub.mean()
+            low = lowpass(_moving(_moving(_moving(cycle, period), period), 3))
+            season = cycle[period : period + n] - low
+            trend = smooth(y - season)
         if step < outer:
             fresh = robust_weights(y - season - trend)
             moved = float(np.abs(fresh - weight).max())
@@ -179,22 +197,24 @@ def stl(
 
     A series too short for a season has none (NULL); its remainder is what the trend leaves.
     """
-    parts = ("observed", "season", "trend", "remainder")
-    schema = T.StructType(
-        [df.schema[k] for k in keys] + [df.schema[date]] + [T.StructField(p, T.DoubleType()) for p in parts]
-    )
+    parts = ("season", "trend", "remainder")
 
-    def per_series(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(date, kind="stable")
-        y = pdf[value].to_numpy(dtype=float)
-        season, trend = decompose(y, period, trend_span)
-        out = pdf[[*keys, date]].copy()
-        out["observed"], out["season"], out["trend"] = y, season, trend
-        out["remainder"] = y - np.nan_to_num(season) - trend
-        return out
-
-    rows = df.where(F.col(value).isNotNull()).select(*keys, date, value)
-    return rows.groupBy(*keys).applyInPandas(per_series, schema)
+    @F.pandas_udf(T.StructType([T.StructField(p, T.ArrayType(T.DoubleType())) for p in parts]))
+    def split(xs: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x in xs:
+            y = np.asarray(x, dtype=float)
+            season, trend = decompose(y, period, trend_span)
+            rows.append((season, trend, y - np.nan_to_num(season) - trend))
+        return pd.DataFrame(rows, columns=list(parts))
+
+    # A series is one row of arrays: its key does not go to the workers. Rows without a date come last.
+    packed = F.array_sort(F.collect_list(F.struct(F.col(date).isNull().alias("late"), F.col(date).alias("d"), F.col(value).cast("double").alias("x"))))
+    series = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(packed.alias("_p"))
+    done = series.select(*keys, "_p", split("_p.x").alias("_s"))
+    zipped = F.arrays_zip(F.col("_p.d").alias("d"), F.col("_p.x").alias("observed"), *[F.col(f"_s.{p}").alias(p) for p in parts])
+    days = done.select(*keys, F.explode(zipped).alias("_r"))
+    return days.select(*keys, F.col("_r.d").alias(date), *[F.when(~F.isnan(f"_r.{p}"), F.col(f"_r.{p}")).alias(p) for p in ("observed", *parts)])
 
 
 def seasonal_summary(

@@ -114,3 +114,16 @@ def test_weights_and_short_series(spark):
     assert w[0] == 1 and w[1] == w[2] == pytest.approx((1 - 1 / 36) ** 2) and w[4] == 0 and 0 < w[3] < w[1]
     out = diagnostics.stl(daily(spark, [1.0, 2.0, 3.0, 4.0]), ["k"], "v").orderBy("ds").collect()
     assert all(x.season is None for x in out) and [x.trend + x.remainder for x in out] == pytest.approx([1, 2, 3, 4])
+
+
+def test_a_series_goes_to_the_workers_as_one_row_of_values(spark, monkeypatch):
+    y = [3.0, None, 1.0, float("nan"), 2.0]
+    df = spark.createDataFrame([("a" if i < 4 else None, START + timedelta(days=i), v) for i, v in enumerate(y)], "k string, ds date, v double")
+    out = diagnostics.stl(df.unionByName(df.where("v = 1").withColumn("ds", F.lit(None).cast("date"))).where("not isnan(v)"), ["k"], "v")
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
+    assert [(r.k, r.observed, r.ds is None) for r in out.orderBy("k", F.col("ds").asc_nulls_last()).collect()] == [(None, 2.0, False), ("a", 3.0, False), ("a", 1.0, False), ("a", 1.0, True)]
+    assert out.schema["ds"].dataType == df.schema["ds"].dataType and all(r.trend is not None and r.season is None for r in out.collect())
+    calls, correlate = [], np.correlate
+    monkeypatch.setattr(np, "correlate", lambda *a: calls.append(1) or correlate(*a))
+    diagnostics.decompose(np.arange(50.0) ** 2, 7, 21, outer=0)
+    assert len(calls) == 2 * 3 + 2 * 2 * 2  # moments once for each smoother, two sums for each of two rounds
